@@ -56,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i < n."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
+        size = 1 << max(16, (n - 1).bit_length())
         up, down = np.full(size, _P), np.full(size, _PINV)
         up[0] = down[0] = 1
         _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]

@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -142,12 +143,32 @@ class File:
         return out.ravel()[: max(0, self.n - first * self.block)].astype("<u4")
 
 
+def _ends(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last eight bytes of spans (as many as they have), as integers."""
+    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(8, np.uint8), buf, np.zeros(8, np.uint8))), 8)
+    size = np.minimum(ends - starts, 8)
+    shift = (8 * (8 - size)).astype(np.uint64)
+    head = np.ascontiguousarray(wide[starts + 8]).view("<u8").ravel() << shift
+    tail = np.ascontiguousarray(wide[ends]).view("<u8").ravel() >> shift
+    return np.where(size > 0, head, 0), np.where(size > 0, tail, 0)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """One encoder for each worker process: what it has learned serves later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class Encoder:
     """The library's encoding of whole texts, with recurring segments encoded once.
 
     A segment is a run of blanks and line ends with the ink after it. The tokenizer's pre-tokens always end where such a
     run follows ink, so the ids of a text are those of its segments. New segments are joined and encoded together; the
-    ids' own byte lengths tell where each ends. Segments are found by hash and then compared byte by byte."""
+    ids' own byte lengths tell where each ends. Segments are found by hash; length, first and last eight bytes must agree."""
 
     def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -162,8 +183,9 @@ class Encoder:
 
     def clear(self) -> None:
         self.key = np.zeros(0, dtype=np.uint64)  # sorted hashes, and for each its place below
-        self.place = self.start = self.len = self.byte_start = self.byte_len = np.zeros(0, dtype=np.int64)
-        self.pool, self.bytes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint8)
+        self.place = self.start = self.len = self.byte_len = np.zeros(0, dtype=np.int64)
+        self.head = self.tail = np.zeros(0, dtype=np.uint64)
+        self.pool = np.zeros(0, dtype=np.uint32)
 
     def _one_by_one(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -189,14 +211,14 @@ class Encoder:
         lens = np.concatenate(lens)
         self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(lens) - lens))
         self.len = np.concatenate((self.len, lens))
-        self.byte_start = np.concatenate((self.byte_start, len(self.bytes) + np.cumsum(size) - size))
+        head, tail = _ends(buf, starts, ends)
+        self.head, self.tail = np.concatenate((self.head, head)), np.concatenate((self.tail, tail))
         self.byte_len = np.concatenate((self.byte_len, size))
         self.pool = np.concatenate((self.pool, *got))
-        self.bytes = np.concatenate((self.bytes, buf[ragged(starts, size)]))
-        at = len(self.place) + np.arange(len(keys))
-        key, place = np.concatenate((self.key, keys)), np.concatenate((self.place, at))
-        order = np.argsort(key, kind="stable")
-        self.key, self.place = key[order], place[order]
+        order = np.argsort(keys, kind="stable")
+        at = np.searchsorted(self.key, keys[order])
+        self.place = np.insert(self.place, at, len(self.place) + order)
+        self.key = np.insert(self.key, at, keys[order])
 
     def encode(self, texts: list[str], buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each. buf, off: the texts' bytes and offsets."""
@@ -211,11 +233,19 @@ class Encoder:
         last = np.where(np.diff(words) > 0, ends[np.maximum(words[1:] - 1, 0)] if len(ends) else 0, off[:-1])
         tail = np.flatnonzero((last < off[1:]) & ~odd)  # blanks after the last word
         inside = ~np.repeat(odd, np.diff(words))
-        starts, ends = np.concatenate((starts[inside], last[tail])), np.concatenate((ends[inside], off[1:][tail]))
-        order = np.argsort(starts, kind="stable")
-        starts, ends = starts[order], ends[order]
+        owner = np.repeat(np.arange(len(texts)), np.diff(words))[inside]
+        starts, ends = starts[inside], ends[inside]
+        if len(tail):
+            at = np.searchsorted(owner, tail, "right")
+            starts, ends, owner = np.insert(starts, at, last[tail]), np.insert(ends, at, off[1:][tail]), np.insert(owner, at, tail)
         key = span_hash(prefix_sums(buf), starts, ends)
-        distinct, seen, which = np.unique(key, return_index=True, return_inverse=True)
+        which, distinct = pd.factorize(key)
+        seen = np.empty(len(distinct), dtype=np.int64)
+        seen[which[::-1]] = np.arange(len(key) - 1, -1, -1)
+        order = np.argsort(distinct)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        distinct, seen, which = distinct[order], seen[order], rank[which]
         at = np.searchsorted(self.key, distinct)
         new = np.ones(len(distinct), dtype=bool)
         inner = at < len(self.key)
@@ -224,13 +254,8 @@ class Encoder:
             self._learn(distinct[new], buf, starts[seen[new]], ends[seen[new]])
             at = np.searchsorted(self.key, distinct)
         place = self.place[at][which]
-        same = self.byte_len[place] == ends - starts
-        if same.all():
-            size = ends - starts
-            eq = np.concatenate(([0], np.cumsum(buf[ragged(starts, size)] == self.bytes[ragged(self.byte_start[place], size)])))
-            e = np.cumsum(size)
-            same = eq[e] - eq[e - size] == size
-        owner = np.searchsorted(off, starts, "right") - 1
+        head, tail = _ends(buf, starts, ends)
+        same = (self.byte_len[place] == ends - starts) & (self.head[place] == head) & (self.tail[place] == tail)
         if not same.all():  # two segments with one hash: their texts go the plain way
             odd[np.unique(owner[~same])] = True
             keep = ~odd[owner]
@@ -258,7 +283,7 @@ def encode_files(docs: DataFrame, tokenizer: str, shard_ids: int = 1 << 20, end_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, encoder = TaskContext.get().partitionId(), 0, None
+        part, seq, encoder = TaskContext.get().partitionId(), 0, encoder_for(tokenizer)
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         names: list[int | None] = []
@@ -272,7 +297,6 @@ def encode_files(docs: DataFrame, tokenizer: str, shard_ids: int = 1 << 20, end_
             return out
 
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
             text, doc = texts_of(batch.column(1)), batch.column(0).to_pylist()
             for lo, hi, buf, off in chunks(text, 6 << 20):
                 ids, k = encoder.encode(text[lo:hi].to_pylist(), buf, off)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import pfor
+from . import chat_collapse, lang_crf, media_jpeg, mixing, pfor, secret_scan, toxicity_fm
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op2_media_columns": media_jpeg.op2_media_columns,
+        "op4_chat_collapse": chat_collapse.op4_chat_collapse,
+        "op6_language_id": lang_crf.op6_language_id,
+        "op7_toxicity": toxicity_fm.op7_toxicity,
+        "op8_source_mixing": mixing.op8_source_mixing,
         "op10_token_output": pfor.op10_token_output,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scan": secret_scan.ORACLE_SQL, "op4_chat_collapse": chat_collapse.ORACLE_SQL}

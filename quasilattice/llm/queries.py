@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_collapse, lang_crf, media_jpeg, mixing, pfor, secret_scan, toxicity_fm
+from . import chat_collapse, decontaminate, lang_crf, media_jpeg, mixing, pfor, secret_scan, substring_dedup, toxicity_fm
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_media_columns": media_jpeg.op2_media_columns,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_chat_collapse": chat_collapse.op4_chat_collapse,
         "op6_language_id": lang_crf.op6_language_id,
         "op7_toxicity": toxicity_fm.op7_toxicity,
         "op8_source_mixing": mixing.op8_source_mixing,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_token_output": pfor.op10_token_output,
     }
 

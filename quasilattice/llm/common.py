@@ -70,7 +70,11 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def chunks(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+#: Bytes of text that are worked on at once, a little under a power of two (see powers).
+CHUNK = (2 << 20) - 64
+
+
+def chunks(column: pa.Array, max_bytes: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of rows in them): whole rows, about max_bytes together. A longer row comes alone."""
     column = texts_of(column)
     n = len(column)

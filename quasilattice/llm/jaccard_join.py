@@ -164,7 +164,7 @@ def forest(sketch: np.ndarray, maybe: float = MAYBE, leader: float = LEADER) ->
     return root, stood
 
 
-def _by_group(rows: DataFrame, keys: list[str], schema: str, work, chunk_bytes: int = 8 << 20) -> DataFrame:
+def _by_group(rows: DataFrame, keys: list[str], schema: str, work, chunk_bytes: int = 4 << 20) -> DataFrame:
     """work(table, starts) on whole groups of equal keys; starts: first row of each group, and the end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -314,7 +314,7 @@ def _exact_links(sets: DataFrame, threshold: float) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["rec", "links", "root"])
 
-    return _by_group(pairs, ["root", "x", "y"], LINKS, work, 16 << 20)
+    return _by_group(pairs, ["root", "x", "y"], LINKS, work, 8 << 20)
 
 
 def _grams(rows: DataFrame) -> DataFrame:

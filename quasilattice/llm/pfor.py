@@ -298,7 +298,7 @@ def encode_files(docs: DataFrame, tokenizer: str, shard_ids: int = 1 << 20, end_
 
         for batch in batches:
             text, doc = texts_of(batch.column(1)), batch.column(0).to_pylist()
-            for lo, hi, buf, off in chunks(text, 6 << 20):
+            for lo, hi, buf, off in chunks(text, (4 << 20) - 64):
                 ids, k = encoder.encode(text[lo:hi].to_pylist(), buf, off)
                 ends = np.cumsum(k)
                 held.append(np.insert(ids, ends, end_id))  # the end id after each document

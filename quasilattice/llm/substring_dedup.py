@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import chunks, gram_hash, mix, prefix_sums, ragged, read_table, span_hash, split_words, written
 
 WINDOW, GRAM, GROUP = 50, 8, 4096
-CHUNK = 8 << 20
+CHUNK = (4 << 20) - 64
 _PLACE = np.uint64((1 << 28) - 1)  # words of one text at most
 
 
@@ -191,7 +191,7 @@ def _moved(sums: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray
 
 def tree_nodes(word: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """The name of the node at depth `window` for the suffix from each word on: equal names, equal words."""
-    name, have, keep = pd.factorize(word)[0].astype(np.int64), 1, {}
+    name, have = pd.factorize(word)[0].astype(np.int64), 1
 
     def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return pd.factorize(a * (int(b.max(initial=0)) + 1) + b)[0].astype(np.int64)
@@ -199,7 +199,6 @@ def tree_nodes(word: np.ndarray, window: int = WINDOW) -> np.ndarray:
     while have * 2 <= window:
         name = joined(name[:-have], name[have:])
         have *= 2
-        keep[have] = name
     if have < window:
         name = joined(name[: len(name) - (window - have)], name[window - have :])
     return name

@@ -1,9 +1,7 @@
-"""Shared pieces: the shared folder, written intermediate tables, and vectorised word splitting."""
+"""Shared pieces: vectorised word splitting and hashing over Arrow texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.storage import new_path, shared_dir, written
+
+__all__ = ["new_path", "shared_dir", "written"]
+
 #: The words of a text are the runs of bytes outside this set.
 WORD = r"[^\x20\x09-\x0D]+"
 _SEP = np.zeros(256, dtype=bool)
@@ -22,28 +24,6 @@ _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: list[np.ndarray] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_ql_shared_dir", None)
-    if not found:
-        found = sc._ql_shared_dir = tempfile.mkdtemp(prefix="ql-shared-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and outlives executors."""
-    spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))

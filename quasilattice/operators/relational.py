@@ -61,11 +61,15 @@ def losing_rows(staged: DataFrame, final: DataFrame, keys: Names, winner: str, o
     return staged.join(final.select(*keys, F.col(winner).alias("_winner")), list(keys)).where(F.col(own) != F.col("_winner")).drop("_winner")
 
 
-def tag_presence(staged: DataFrame, final: DataFrame, keys: Names, block: str, values: Names) -> DataFrame:
-    """(block, column_name, pk_json): the cells that losing blocks contributed to rows of other blocks."""
-    losers = losing_rows(staged, final, keys, block, block)
-    long = unpivot_values(losers.withColumn("pk_json", F.to_json(F.array(*(F.col(k).cast("string") for k in keys)))), [block, "pk_json"], values)
-    return long.where(F.col("value").isNotNull()).select(block, "column_name", "pk_json").distinct()
+def tag_presence(staged: DataFrame, keys: Names, block: str, values: Names) -> DataFrame:
+    """(block, column_name, pk_json): the cells that each block contributed to keys of more than one block."""
+    shared = staged.groupBy(*keys).agg(F.min(block).alias("_a"), F.max(block).alias("_b")).where("_a <> _b").select(*keys)
+    rows = staged.join(shared, list(keys), "left_semi").withColumn("pk_json", key_json(keys))
+    return unpivot_values(rows, [block, "pk_json"], values).where(F.col("value").isNotNull()).select(block, "column_name", "pk_json").distinct()
+
+
+def key_json(keys: Names) -> Column:
+    return F.to_json(F.array(*(F.col(k).cast("string") for k in keys)))
 
 
 # ---- filling

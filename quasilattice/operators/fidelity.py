@@ -62,8 +62,9 @@ def generated(a: Dataset, b: Dataset) -> set[tuple[str, str]]:
 
 def normalised(df: DataFrame, table: Table, dropped: set[tuple[str, str]]) -> DataFrame:
     """One JSON text a row: non-null values that aren't placeholders, numbers in canonical form. Rows without any are left out."""
-    canonical = F.udf(canonical_real, "string", useArrow=True)
-    canonical_su = F.udf(lambda v: canonical_real(v, True), "string", useArrow=True)
+    # Spark runs the function on all rows, whatever the condition around it.
+    canonical = F.udf(lambda v: None if v is None else canonical_real(v), "string", useArrow=True)
+    canonical_su = F.udf(lambda v: None if v is None else canonical_real(v, True), "string", useArrow=True)
     cells = []
     for c in table.columns:
         if c.is_synthetic or c.name == ID or (table.name, c.name) in dropped or c.name not in df.columns:

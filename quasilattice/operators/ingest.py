@@ -102,7 +102,7 @@ def _container_su(value: Col) -> Col:
     """number, su of a stored container: of any depth, so by an Arrow-batched Python function."""
 
     def split(value: str):
-        number, su = split_su_container(value)
+        number, su = split_su_container(value) if value is not None and value.startswith(C.CONTAINER) else (value, None)
         return {"number": number, "su": su}
 
     return F.udf(split, "struct<number:string,su:string>", useArrow=True)(value)

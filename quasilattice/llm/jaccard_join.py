@@ -149,7 +149,8 @@ def _next_level(rows: DataFrame, threshold: float) -> DataFrame:
 
 def forest(sketch: np.ndarray, maybe: float = MAYBE, leader: float = LEADER) -> tuple[np.ndarray, np.ndarray]:
     """Of a leaf: each record's root among those it may be similar to, and which records another one stands for.
-    If x stands for y (`leader`), all partners of y are similar enough to x to be found there, so y needn't be searched."""
+    If x stands for y (`leader`), all partners of y are similar enough to x to be found there, so y needn't be searched.
+    Roots are the first of their trees: as leaves are in order of rec, trees of many leaves have few roots between them."""
     n = len(sketch)
     root, stood = np.arange(n), np.zeros(n, dtype=bool)
     for i in range(n - 1):
@@ -165,7 +166,7 @@ def forest(sketch: np.ndarray, maybe: float = MAYBE, leader: float = LEADER) ->
 
 
 def _by_group(rows: DataFrame, keys: list[str], schema: str, work, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """work(table, starts) on whole groups of equal keys; starts: first row of each group, and the end."""
+    """work(table, starts) on whole groups of equal keys, each in order of rec; starts: first row of each group, and the end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -192,7 +193,7 @@ def _by_group(rows: DataFrame, keys: list[str], schema: str, work, chunk_bytes:
             table = pa.Table.from_batches(held).combine_chunks()
             yield from work(table, np.concatenate(([0], cut(table), [len(table)])))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "rec").mapInArrow(run, schema)
 
 
 LEAVES = "a long, b long, path long, sketch binary"
@@ -348,7 +349,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     placed = groups.withColumnRenamed("node", "rec").join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("rec"), F.col("blocks")).cast("int"))
     placed = written(placed.join(records.select("rec", "doc_id", "rows"), "rec"), "placed")
     match = (rows["rec"] == placed["rec"]) & rows["doc_id"].eqNullSafe(placed["doc_id"])
-    texts = rows.join(placed, match).select("root", placed["rec"], "rows", "block", "blocks", "text").dropDuplicates(["rec"])
+    # Sort-merge at every size: whether a small right side is broadcast must not decide what moves.
+    texts = rows.join(placed.hint("merge"), match).select("root", placed["rec"], "rows", "block", "blocks", "text").dropDuplicates(["rec"])
     links = written(_exact_links(_grams(texts), threshold), "links")
     linked = components(links.select(F.col("rec").alias("a"), F.col("root").alias("b")).distinct())
     number = links.groupBy("rec").agg(F.sum("links").alias("links"))

@@ -127,7 +127,8 @@ class File:
     def ids(self, first: int = 0, end: int | None = None) -> np.ndarray:
         """Ids of the blocks first to end."""
         blocks = len(self.low)
-        end = blocks if end is None else end
+        end = blocks if end is None else min(end, blocks)
+        first = min(first, end)
         width = self.width[first:end].astype(np.int64)
         out = np.zeros((end - first, self.block), dtype=np.int64)
         for w in np.unique(width):

@@ -39,7 +39,7 @@ from .common import chunks, gram_hash, mix, prefix_sums, ragged, read_table, spa
 from .components import components
 
 SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
-COORDS, DEPTH, SMALL, PART, BLOCK = 64, 4, 128, 4096, 512
+COORDS, DEPTH, SMALL, PART, BLOCK = 64, 4, 4096, 4096, 512
 #: Sketch similarities: what may be similar (five deviations below the threshold); what stands for another (their
 #: partners are then at most 0.45 from it); and what may be similar to a partner of one it stands for.
 MAYBE, LEADER, FAR = 0.55, 0.85, 0.35

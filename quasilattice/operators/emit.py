@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.quoting import LINE_LIMIT, make_text_field, quote
 from ..functions.values import merge_su
 from ..plans.output import BlockSpec, EmitMode, OutputPlan
-from ..plans.schema import BLOCK, Schema, Table
+from ..plans.schema import BLOCK, Schema, Table, topological
 from ..sources.types import V1, V2
 from . import relational as R
 from .ingest import LOOP, ORDER, Dataset
@@ -201,6 +201,7 @@ class _Renderer:
     def __init__(self, schema: Schema, plan: OutputPlan, mode: EmitMode, version: str, reconstruct_su: bool, pretty: bool, line_limit: int):
         self.schema, self.plan, self.mode, self.version = schema, plan, mode, version
         self.reconstruct_su, self.pretty, self.limit = reconstruct_su, pretty, line_limit
+        self.rank = {t: i for i, t in enumerate(topological(schema))}
 
     def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
         key, position = pdf["key"].iloc[0], int(pdf["position"].min()) if pdf["position"].notna().any() else 0
@@ -227,10 +228,17 @@ class _Renderer:
             found = 0  # the layout of the first spec, for all blocks
         spec = self.plan.specs[found] if found is not None else BlockSpec()
         lines: list[str] = []
+        self.written: set[str] = set()
         for group in self._order(tables, spec):
             lines += self._group([t for t in group if t in tables], tables, anchors, spec)
-        lines += self._fallback(loose)
-        return found if found is not None else len(self.plan.specs), self._name(key, anchors, spec), "\n".join(lines) + "\n" if lines else ""
+        # A block can't have a tag twice: values of unrouted loops whose tags are taken go to a block of their own.
+        taken = {loop for _, loop, row in loose if loop is not None and row["tag"] in self.written}
+        apart = [r for r in loose if r[1] in taken and r[1] is not None or r[1] is None and r[2]["tag"] in self.written]
+        lines += self._fallback([r for r in loose if not any(r is x for x in apart)])
+        name = self._name(key, anchors, spec)
+        if apart:
+            lines += ["", f"data_{name}_rest", *self._fallback(apart)]
+        return found if found is not None else len(self.plan.specs), name, "\n".join(lines) + "\n" if lines else ""
 
     def _name(self, key: str, anchors: dict[str, dict], spec: BlockSpec) -> str:
         if self.mode is EmitMode.ORIGINAL:
@@ -305,6 +313,7 @@ class _Renderer:
         if not columns:
             return []
         tags = [self.schema.column_to_tag[table.name, c] for c in columns]
+        self.written |= set(tags)
         cells = [[self._value(table, c, r) for c in columns] for r in rows]
         real = [table.column(c).type_contents in ("Real", "Integer") for c in columns]
         if table.category_class == "Set" and len(rows) == 1:
@@ -313,24 +322,29 @@ class _Renderer:
 
     def _merged(self, names: list[str], tables: dict, anchors: dict[str, dict], spec: BlockSpec) -> list[str]:
         """Categories in one loop: a full outer join on their keys, in order of first appearance."""
-        lead = self.schema.tables[names[0]]
+        lead = self.schema.tables[min(names, key=self.rank.__getitem__)]  # whose key the others' keys follow from
+        alike = [n for n in names if lead.keys and set(self.schema.tables[n].keys) == set(lead.keys)]
         places: dict[tuple, dict[str, dict]] = {}
         for n in names:
-            keys = self.schema.tables[n].keys
             for ord_, loop, row in tables[n]:
-                k = tuple(row.get(c) for c in keys) if set(keys) == set(lead.keys) and keys else (loop, ord_)
+                k = tuple(row.get(c) for c in lead.keys) if n in alike else (n, loop, ord_)
                 places.setdefault(k, {})[n] = row
         tags, real, getters = [], [], []
-        for i, n in enumerate(names):
+        for n in sorted(names, key=lambda n: (n != lead.name, names.index(n))):
             table, rows = self.schema.tables[n], [r for _, _, r in tables[n]]
             for c in self._columns(table, rows, anchors, False, spec):
-                if i and c in table.keys and set(table.keys) == set(lead.keys):
-                    if any(n2 != n and c in self.schema.tables[n2].keys for n2 in names[:i]) and all(lead.name in p for p in places.values()):
-                        continue
+                if n != lead.name and n in alike and c in table.keys:
+                    continue
                 tags.append(self.schema.column_to_tag[n, c])
                 real.append(table.column(c).type_contents in ("Real", "Integer"))
-                getters.append((n, c))
-        cells = [[self._value(self.schema.tables[n], c, p[n]) if n in p else "." for n, c in getters] for p in places.values()]
+                getters.append((n, c, n == lead.name and c in lead.keys))
+        self.written |= set(tags)
+
+        def cell(p: dict[str, dict], n: str, c: str, key: bool) -> str:
+            owner = n if n in p else next((m for m in alike if m in p), None) if key else None
+            return self._value(self.schema.tables[owner], c, p[owner]) if owner else "."
+
+        cells = [[cell(p, *g) for g in getters] for p in places.values()]
         return self.loop(tags, cells, real) if tags else []
 
     def _value(self, table: Table, column: str, row: dict) -> str:

@@ -91,6 +91,13 @@ def _dedup(items: list, keep: str, told) -> list:
     return [x for i, x in enumerate(items) if i in kept]
 
 
+def _with(cells: DataFrame, part: DataFrame, keys: list[str], sums: list) -> DataFrame:
+    """cells with the aggregates of part's groups; keys may be null."""
+    found = part.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(*sums)
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return cells.join(found, on, "left").drop(*(f"_k_{k}" for k in keys))
+
+
 def clean_cells(cells: DataFrame, *, remove_error_values: bool = True, deduplicate_blocks: str | None = "first", deduplicate_tags: str | None = "first", strip_loop_padding: bool = True) -> DataFrame:
     if remove_error_values:
         cells = cells.where(F.col("tag") != ORPHAN)
@@ -100,18 +107,15 @@ def clean_cells(cells: DataFrame, *, remove_error_values: bool = True, deduplica
         kept = cells.groupBy("source", base.alias("_name")).agg(edge).select(F.col("source"), F.col("_keep").alias("block_idx"))
         cells = cells.join(kept, ["source", "block_idx"], "left_semi")
     if deduplicate_tags:
-        scalar = cells.where("loop_idx IS NULL")
-        keys = ["source", "block_idx", "frame_idx", "tag"]
-        edge = scalar.groupBy(*keys).agg((F.min if deduplicate_tags == "first" else F.max)("iter_idx").alias("_keep"))
-        on = [cells[k].eqNullSafe(edge[k]) for k in keys]
-        picked = cells.join(edge, on, "left").where(F.col("loop_idx").isNotNull() | (F.col("iter_idx") == F.col("_keep")))
-        cells = picked.select(*(cells[c] for c in cells.columns)).withColumn("iter_idx", F.when(F.col("loop_idx").isNull(), 0).otherwise(F.col("iter_idx")))
+        edge = (F.min if deduplicate_tags == "first" else F.max)("iter_idx").alias("_keep")
+        cells = _with(cells, cells.where("loop_idx IS NULL"), ["source", "block_idx", "frame_idx", "tag"], [edge])
+        cells = cells.where(F.col("loop_idx").isNotNull() | (F.col("iter_idx") == F.col("_keep"))).drop("_keep")
+        cells = cells.withColumn("iter_idx", F.when(F.col("loop_idx").isNull(), 0).otherwise(F.col("iter_idx")))
     if strip_loop_padding:
-        keys = ["source", "block_idx", "frame_idx", "loop_idx"]
-        loops = cells.where("loop_idx IS NOT NULL").groupBy(*keys).agg(F.max(F.when(F.col("value") != "?", F.col("iter_idx"))).alias("_last"), F.max("iter_idx").alias("_end"), F.count_distinct("tag").alias("_n"))
-        loops = loops.withColumn("_cut", F.greatest(F.coalesce("_last", F.lit(0)), F.col("_end") - F.col("_n") + 1))
-        on = [cells[k].eqNullSafe(loops[k]) for k in keys]
-        cells = cells.join(loops, on, "left").where(F.col("_cut").isNull() | (F.col("iter_idx") <= F.col("_cut"))).select(*(cells[c] for c in cells.columns))
+        parts = [F.max(F.when(F.col("value") != "?", F.col("iter_idx"))).alias("_last"), F.max("iter_idx").alias("_end"), F.count_distinct("tag").alias("_n")]
+        cells = _with(cells, cells.where("loop_idx IS NOT NULL"), ["source", "block_idx", "frame_idx", "loop_idx"], parts)
+        cut = F.greatest(F.coalesce("_last", F.lit(0)), F.col("_end") - F.col("_n") + 1)
+        cells = cells.where(F.col("_n").isNull() | (F.col("iter_idx") <= cut)).drop("_last", "_end", "_n")
     return cells
 
 

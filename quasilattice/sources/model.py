@@ -205,8 +205,9 @@ class Builder:
         kept = []
         for i, t in enumerate(tags):
             if t in self.space.values:
-                self._issue("repeated-tag", f"tag {t} is repeated by a loop; its first values stay")
-                continue
+                self._issue("repeated-tag", f"tag {t} is repeated by a loop; the loop's values get the number of the occurrence")
+                n_th = next(k for k in range(2, len(self.space.values) + 3) if f"{t}#{k}" not in self.space.values)
+                t = f"{t}#{n_th}"
             self.space.values[t] = self.cells[i::n]
             self.space.order.append(t)
             kept.append(t)

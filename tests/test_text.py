@@ -86,6 +86,11 @@ def test_quoted_placeholders_differ_from_bare_ones():
     assert values("_a .\n_b '.'\n", "_b") == ['"."'] and values("_a .\n", "_a") == ["."]
 
 
+def test_a_repeated_loop_tag_loses_nothing():
+    cif, errors = build(V2 + "data_x\n_a 1\nloop_ _a _b\n2 3\n")
+    assert cif["x"]["_a"] == ["1"] and cif["x"]["_a#2"] == ["2"] and len(errors) == 1
+
+
 def test_names_fold():
     assert fold("_STRASSE") == fold("_straße") and build(V2 + "data_x\n_STRASSE 1\n")[0]["x"]["_straße"] == ["1"]
 

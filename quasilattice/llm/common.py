@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.storage import new_path, shared_dir, written
 
@@ -123,3 +124,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n rows, the first by the hash of key. Rows are counted first, so that tasks send about 2 n rows in all to
+    where they are ranked, whatever the number of tasks."""
+    total, h = df.select(key).count(), F.xxhash64(key)
+    if total > 2 * n:
+        df = df.where(h < int(-(2**63) + 2**64 * 2 * n / total))
+    return df.orderBy(h, key).limit(n)

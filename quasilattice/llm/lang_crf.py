@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, prefix_sums, ragged, read_table, span_hash, split_words, texts_of
+from .common import chunks, hash_sample, mix, prefix_sums, ragged, read_table, span_hash, split_words, texts_of
 
 TABLE = 1 << 18
 BLOCK = 32
@@ -139,7 +139,7 @@ def marginals(scores: np.ndarray, words: np.ndarray, transitions: np.ndarray) ->
     return out / out.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], passage: int = 16, splices: int = 4, sequences: int = 6000, epochs: int = 6, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> Model:
+def train(texts: list[str], langs: list[str], passage: int = 16, splices: int = 4, sequences: int = 5000, epochs: int = 6, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> Model:
     """Fit weights and transitions on `sequences` sequences of `splices` passages of `passage` words."""
     labels = sorted(set(langs))
     lookup = {x: i for i, x in enumerate(labels)}
@@ -147,14 +147,14 @@ def train(texts: list[str], langs: list[str], passage: int = 16, splices: int =
     column = texts_of(pa.array(texts, pa.large_string()))
     feats, spans, gold = [], [], []  # features of all words, one after the other; of each passage first and end word
     n_words = 0
-    for lo, hi, raw, off in chunks(column, 1 << 22):
+    for lo, hi, raw, off in chunks(column, 1 << 19):
         buf = _LOWER[raw]
         s, e, words = split_words(buf, off, _NOT_LETTER)
         parts = _word_features(buf, s, e)
         tri = _trigrams(buf) if len(buf) > 2 else np.zeros(0, np.int64)
         inner = np.maximum(e - s - 2, 0)
         sizes = inner + len(parts)
-        flat = np.empty(int(sizes.sum()), dtype=np.int64)
+        flat = np.empty(int(sizes.sum()), dtype=np.int32)
         at = np.cumsum(sizes) - sizes
         for j, f in enumerate(parts):
             flat[at + j] = f
@@ -217,10 +217,10 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, sample_docs: int = 2400, sample_chars: int = 20_000) -> tuple[list[str], list[str]]:
+def training_rows(docs: DataFrame, sample_docs: int = 1200, sample_chars: int = 20_000) -> tuple[list[str], list[str]]:
     """At most sample_docs labelled documents that aren't held out, the first by hash: a bounded sample, on the driver."""
     known = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= sample_chars))
-    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).select("text", "lang").collect()
+    rows = sorted(hash_sample(known.select("doc_id", "text", "lang"), "doc_id", sample_docs).collect())
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 

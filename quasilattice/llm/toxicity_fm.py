@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, prefix_sums, read_table, span_hash, split_words, texts_of, written
+from .common import chunks, hash_sample, mix, prefix_sums, read_table, span_hash, split_words, texts_of, written
 from .lang_crf import _LOWER, held_out
 
 TERMS = 1 << 20
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 16_000, keep: int
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # sample_docs rows of 12 bytes: small enough to broadcast at any input size.
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    sample = hash_sample(known, "doc_id", sample_docs)
     rows = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

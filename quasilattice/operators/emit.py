@@ -23,7 +23,7 @@ from ..plans.output import BlockSpec, EmitMode, OutputPlan
 from ..plans.schema import BLOCK, Schema, Table, topological
 from ..sources.types import V1, V2
 from . import relational as R
-from .ingest import LOOP, ORDER, Dataset
+from .ingest import ITER, LOOP, ORDER, Dataset
 
 ROWS = "key string, position long, table_name string, ord string, loop_id int, row string"
 RENDERED = "key string, position long, spec int, name string, body string"
@@ -52,6 +52,7 @@ def emit_blocks(data: Dataset, schema: Schema | None = None, *, mode: EmitMode =
         plan = OutputPlan()
     rows = {EmitMode.ORIGINAL: original_rows, EmitMode.GROUPED: grouped_rows, EmitMode.ONE_BLOCK: one_block_rows, EmitMode.ALL_BLOCKS: all_block_rows}[mode](data)
     render = _Renderer(schema, plan, mode, version, reconstruct_su, pretty, line_limit)
+    rows = planned(rows, schema, plan) if plan.specs and mode in (EmitMode.GROUPED, EmitMode.ONE_BLOCK) else rows.withColumn("spec", F.lit(None).cast("int"))
     made = rows.groupBy("key").applyInPandas(lambda pdf: render(pdf), RENDERED)
     order = ["position", "key"] if mode is EmitMode.ORIGINAL else ["spec", "name", "position", "key"]
     # One row a block; numbering them is the price of an ordered file.
@@ -65,7 +66,7 @@ def emit_blocks(data: Dataset, schema: Schema | None = None, *, mode: EmitMode =
 
 
 def _json_row(table: Table, columns: list[str] | None = None) -> F.Column:
-    return F.to_json(F.struct(*(F.col(c) for c in (columns or table.data))))
+    return F.to_json(F.struct(*(F.col(c) for c in (columns or table.data)), F.col(ITER)))
 
 
 def _table_rows(data: Dataset) -> list[DataFrame]:
@@ -82,7 +83,7 @@ def _table_rows(data: Dataset) -> list[DataFrame]:
 def _fallback_rows(data: Dataset) -> DataFrame:
     f = data.infra["fallback"]
     ord_ = F.format_string("%010d.%010d.%010d", F.coalesce("loop_id", F.lit(-1)) + 1, F.coalesce("col_index", F.lit(0)), F.col("row_id"))
-    row = F.to_json(F.struct("tag", "value", "value_type", "row_id", "col_index"))
+    row = F.to_json(F.struct("tag", "value", "value_type", "row_id", "col_index", "ref_table"))
     return f.select(F.col("block_id").alias(BLOCK), F.lit("").alias("table_name"), ord_.alias("ord"), "loop_id", row.alias("row"))
 
 
@@ -188,6 +189,34 @@ def all_block_rows(data: Dataset) -> DataFrame:
     return out if out is not None else data.spark.createDataFrame([], ROWS)
 
 
+def planned(rows: DataFrame, schema: Schema, plan: OutputPlan) -> DataFrame:
+    """rows with `spec`, the index of the first spec that accepts their block (null: none). Blocks of a single_block spec get
+    one key; those of an attach_to spec get the key of the first other block that the predicate accepts, by spec and key.
+    One row a block is matched; only whether a target exists comes to the driver."""
+    keyed = {t for t, x in schema.tables.items() if x.category_class == "Set" and x.keys}
+
+    def accepts(test) -> F.Column:
+        """A Python predicate on the tables of a block: one call a block, in Arrow batches."""
+        return F.udf(lambda tables: test(frozenset(tables) & keyed, frozenset(tables)), "int", useArrow=True)("tables")
+
+    meta = rows.where("table_name <> ''").groupBy("key").agg(F.collect_set("table_name").alias("tables")).withColumn("spec", accepts(plan.match))
+    single = [i for i, s in enumerate(plan.specs) if s.single_block]
+    attached = [i for i, s in enumerate(plan.specs) if s.attach_to is not None]
+    meta = meta.withColumn("to", F.when(F.col("spec").isin(*single), F.concat(F.lit("spec:"), F.col("spec").cast("string"))).otherwise(F.col("key"))) if single else meta.withColumn("to", F.col("key"))
+    for i in attached:
+        test = BlockSpec(plan.specs[i].attach_to)
+        others = meta.where(~F.coalesce(F.col("spec").isin(*attached), F.lit(False)))
+        found = others.where(accepts(lambda a, t, test=test: int(test.accepts(a, t))) == 1).orderBy(F.col("spec").asc_nulls_last(), "to").select("to", "spec").first()
+        if found is None:
+            if not meta.where(F.col("spec") == i).isEmpty():
+                warnings.warn(f"no block for what spec {i} attaches; it stands alone", UserWarning, stacklevel=3)
+            continue
+        mine = F.coalesce(F.col("spec") == i, F.lit(False))
+        meta = meta.withColumn("to", F.when(mine, F.lit(found["to"])).otherwise(F.col("to"))).withColumn("spec", F.when(mine, F.lit(found["spec"]).cast("int")).otherwise(F.col("spec")))
+    placed = rows.join(meta.select("key", "to", "spec"), "key", "left")
+    return placed.withColumn("key", F.coalesce("to", "key")).drop("to")
+
+
 # ---- rendering
 
 
@@ -206,29 +235,34 @@ class _Renderer:
     def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
         key, position = pdf["key"].iloc[0], int(pdf["position"].min()) if pdf["position"].notna().any() else 0
         rows = [(r.table_name, r.ord, None if pd.isna(r.loop_id) else int(r.loop_id), json.loads(r.row)) for r in pdf.itertuples() if isinstance(r.table_name, str) and isinstance(r.row, str)]
-        spec, name, body = self.render(key, rows)
+        own = pdf["spec"].dropna()
+        spec, name, body = self.render(key, rows, int(own.iloc[0]) if len(own) else None)
         return pd.DataFrame([(key, position, spec, name, body)], columns=["key", "position", "spec", "name", "body"])
 
-    def render(self, key: str, rows: list[tuple[str, str, int | None, dict]]) -> tuple[int, str, str]:
+    def render(self, key: str, rows: list[tuple[str, str, int | None, dict]], matched: int | None = None) -> tuple[int, str, str]:
         tables: dict[str, list[tuple[str, int | None, dict]]] = defaultdict(list)
         loose: list[tuple[str, int | None, dict]] = []
         for table, ord_, loop, row in rows:
             if not table:
                 loose.append((ord_, loop, row))
                 continue
-            if (keep := row.pop("_only", None)) is not None:
+            keep, at = row.pop("_only", None), row.pop(ITER, None)
+            if keep is not None:
                 row = {c: v for c, v in row.items() if c in keep or c in self.schema.tables[table].keys}
+            row["_at"] = (loop, at)
             tables[table].append((ord_, loop, row))
         for x in tables.values():
             x.sort(key=lambda r: r[0])
         loose.sort(key=lambda r: r[0])
         anchors = {t: x[0][2] for t, x in tables.items() if self.schema.tables[t].category_class == "Set" and self.schema.tables[t].keys}
-        found = None if self.mode is EmitMode.ORIGINAL else self.plan.match(frozenset(anchors), frozenset(tables))
+        found = matched if matched is not None else None if self.mode is EmitMode.ORIGINAL else self.plan.match(frozenset(anchors), frozenset(tables))
         if self.mode is EmitMode.ALL_BLOCKS and self.plan.specs:
             found = 0  # the layout of the first spec, for all blocks
         spec = self.plan.specs[found] if found is not None else BlockSpec()
-        lines: list[str] = []
         self.written: set[str] = set()
+        self.single = spec.single_block
+        lines = self._conformance(tables, loose)
+        loose = self._beside(tables, loose)
         for group in self._order(tables, spec):
             lines += self._group([t for t in group if t in tables], tables, anchors, spec)
         # A block can't have a tag twice: values of unrouted loops whose tags are taken go to a block of their own.
@@ -240,11 +274,48 @@ class _Renderer:
             lines += ["", f"data_{name}_rest", *self._fallback(apart)]
         return found if found is not None else len(self.plan.specs), name, "\n".join(lines) + "\n" if lines else ""
 
+    def _conformance(self, tables: dict, loose: list) -> list[str]:
+        """In one block for all: which dictionary the data follow, unless they say so themselves."""
+        if self.mode is not EmitMode.ONE_BLOCK or "audit_conform" in tables or any(r["tag"].startswith("_audit_conform.") for _, _, r in loose):
+            return []
+        s = self.schema
+        found = [(t, v) for t, v in (("_audit_conform.dict_name", s.dictionary_title), ("_audit_conform.dict_version", s.dictionary_version), ("_audit_conform.dict_location", s.dictionary_uri)) if v]
+        if found and "audit" not in tables and not any(r["tag"] == "_audit.schema" for _, _, r in loose):
+            found.insert(0, ("_audit.schema", "Custom"))
+        return self.pairs([t for t, _ in found], [self._token(v) for _, v in found]) if found else []
+
+    def _beside(self, tables: dict, loose: list) -> list:
+        """Unrouted cells of a loop go beside the routed ones, as columns of the same loop row, where the block has all
+        those rows. Returns the others."""
+        self.extra: dict[str, dict[tuple[int, str], dict[tuple, dict]]] = defaultdict(lambda: defaultdict(dict))
+        wanted: dict[tuple[str, int], list] = defaultdict(list)
+        for x in loose:
+            _, loop, row = x
+            if loop is not None and row.get("ref_table") in tables:
+                wanted[row["ref_table"], loop].append(x)
+        gone: set[int] = set()
+        for (table, loop), cells in wanted.items():
+            places = {r["_at"] for _, _, r in tables[table]}
+            taken = {tag for t, tag in ((t, self.schema.column_to_tag.get((t, c))) for t in tables for c in self.schema.tables[t].data)}
+            if all((loop, int(r["row_id"])) in places and r["tag"] not in taken for _, _, r in cells):
+                for x in cells:
+                    self.extra[table][int(x[2].get("col_index") or 0), x[2]["tag"]][loop, int(x[2]["row_id"])] = x[2]
+                    gone.add(id(x))
+        return [x for x in loose if id(x) not in gone]
+
+    def _extra_cells(self, table: str, rows: list[dict | None]) -> tuple[list[str], list[list[str]]]:
+        """Tags, and for each row the cells, of unrouted values beside a table."""
+        names = sorted(self.extra.get(table, {}))
+        cells = [[self._loose(self.extra[table][n][r["_at"]]) if r is not None and r["_at"] in self.extra[table][n] else "." for n in names] for r in rows]
+        return [t for _, t in names], cells
+
     def _name(self, key: str, anchors: dict[str, dict], spec: BlockSpec) -> str:
         if self.mode is EmitMode.ORIGINAL:
             name = key
         else:
             values = {f"{t}.{k}": str(row.get(k, "")) for t, row in anchors.items() for k in self.schema.tables[t].keys}
+            if self.single and not (spec.block_namer or self.plan.block_namer):
+                return sanitize(key) or "block"
             make = spec.block_namer or self.plan.block_namer
             if make:
                 name = make(values)
@@ -284,7 +355,7 @@ class _Renderer:
 
     def _columns(self, table: Table, rows: list[dict], anchors: dict[str, dict], alone: bool, spec: BlockSpec) -> list[str]:
         active = [c for c in table.data if any(r.get(c) is not None for r in rows)]
-        if table.category_class == "Loop" or table.name not in anchors or len(rows) == 1:
+        if not self.single and (table.category_class == "Loop" or table.name not in anchors or len(rows) == 1):
             active = [c for c in active if not self._implied(table, c, rows, anchors)] or active
         if self.reconstruct_su:
             active = [c for c in active if not (table.column(c).is_su and self.schema.tag_to_column.get(table.column(c).linked_item_id or "", ("", ""))[1] in active)]
@@ -318,7 +389,8 @@ class _Renderer:
         real = [table.column(c).type_contents in ("Real", "Integer") for c in columns]
         if table.category_class == "Set" and len(rows) == 1:
             return self.pairs(tags, cells[0])
-        return self.loop(tags, cells, real)
+        more, beside = self._extra_cells(table.name, rows)
+        return self.loop(tags + more, [a + b for a, b in zip(cells, beside, strict=True)], real + [False] * len(more))
 
     def _merged(self, names: list[str], tables: dict, anchors: dict[str, dict], spec: BlockSpec) -> list[str]:
         """Categories in one loop: a full outer join on their keys, in order of first appearance."""
@@ -345,6 +417,9 @@ class _Renderer:
             return self._value(self.schema.tables[owner], c, p[owner]) if owner else "."
 
         cells = [[cell(p, *g) for g in getters] for p in places.values()]
+        for n in names:
+            more, beside = self._extra_cells(n, [p.get(n) for p in places.values()])
+            tags, real, cells = tags + more, real + [False] * len(more), [a + b for a, b in zip(cells, beside, strict=True)]
         return self.loop(tags, cells, real) if tags else []
 
     def _value(self, table: Table, column: str, row: dict) -> str:

@@ -90,12 +90,13 @@ def tag_routes(spark: SparkSession, schema: Schema) -> DataFrame:
 
 def route(cells: DataFrame, schema: Schema) -> DataFrame:
     """Cells with their table and column, null for those that go to the fallback: unknown tags, and whole loops over
-    tables with different keys."""
+    tables with different keys. ref_table: the table that a fallback cell of a loop belongs to or stood beside."""
     routed = R.route(cells.where("frame_idx IS NULL"), tag_routes(cells.sparkSession, schema), "tag")
-    mixed = routed.where("loop_idx IS NOT NULL AND table_name IS NOT NULL").groupBy("block_id", "loop_idx").agg((F.count_distinct("key_names") > 1).alias("_mixed")).where("_mixed")
+    mixed = routed.where("loop_idx IS NOT NULL AND table_name IS NOT NULL").groupBy("block_id", "loop_idx").agg((F.count_distinct("key_names") > 1).alias("_mixed"), F.min("table_name").alias("_near"))
     routed = routed.join(mixed, ["block_id", "loop_idx"], "left").withColumn("mixed_loop", F.coalesce("_mixed", F.lit(False))).drop("_mixed")
     home = F.when(~F.col("mixed_loop"), F.col("table_name"))
-    return routed.withColumn("ref_table", F.col("table_name")).withColumn("table_name", home)
+    near = F.when(F.col("mixed_loop"), F.col("table_name")).otherwise(F.col("_near"))
+    return routed.withColumn("ref_table", near).withColumn("table_name", home).drop("_near")
 
 
 def _container_su(value: Col) -> Col:
@@ -340,7 +341,7 @@ def _infrastructure(out: Dataset, cells: DataFrame, routed: DataFrame, presence:
     made: dict[str, DataFrame] = {}
     rows = routed.where("table_name IS NULL AND rank = 0")
     shape = F.col("loop_idx").cast("int").alias("loop_id")
-    made["fallback"] = rows.select("block_id", F.col("iter_idx").cast("long").alias("row_id"), "tag", "value", "value_type", shape, "col_index", F.when(F.col("mixed_loop"), F.col("ref_table")).alias("ref_table"))
+    made["fallback"] = rows.select("block_id", F.col("iter_idx").cast("long").alias("row_id"), "tag", "value", "value_type", shape, "col_index", "ref_table")
     made["block_order"] = cells.groupBy("block_id").agg(F.min("block_idx").alias("position"))
     made["tag_presence"] = _union(spark, "tag_presence", presence).distinct()
     made["metatable"] = _union(spark, "metatable", counts)

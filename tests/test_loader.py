@@ -234,6 +234,27 @@ def test_layout():
         render(s, copy.deepcopy(body), version="1.1", plan=OutputPlan(block_namer=lambda a: "x" * 80))
 
 
+def test_unknown_columns_stay_in_their_loop(spark):
+    text = V2 + "data_x\nloop_ _atom.label _new.tag _atom.x\nA n1 1\nB n2 2\n"
+    data = ingest(build(text)[0], crystal(), spark=spark)
+    again = build(emit(data))[0]["x"]
+    assert set(again.loops[0]) >= {"_atom.label", "_new.tag", "_atom.x"} and again["_new.tag"] == ["n1", "n2"]
+    one = emit(Dataset(spark, crystal(dictionary_title="T", dictionary_version="1"), data.tables, data.infra), mode=EmitMode.ONE_BLOCK)
+    assert build(one)[0]["output"]["_audit_conform.dict_name"] == ["T"]
+
+
+def test_plans_merge_and_attach(spark):
+    text = V2 + "data_a\n_structure.id S1\n_cell.a 1\ndata_b\n_structure.id S2\n_cell.a 2\ndata_c\nloop_ _notes.text p q\n"
+    data = ingest(build(text)[0], crystal(), spark=spark)
+    whole = emit(data, mode=EmitMode.GROUPED, plan=OutputPlan([BlockSpec(has("cell"), single_block=True, block_namer=lambda a: "all")]))
+    blocks = build(whole)[0]
+    assert [b.name for b in blocks.blocks] == ["all", "c"] and blocks["all"]["_cell.structure_id"] == ["S1", "S2"]
+    joined = build(emit(data, mode=EmitMode.GROUPED, plan=OutputPlan([BlockSpec(has("cell")), BlockSpec(has("notes"), attach_to=any_of("structure"))])))[0]
+    assert len(joined.blocks) == 2 and [b.get("_notes.text") for b in joined.blocks].count(["p", "q"]) == 1
+    with pytest.warns(UserWarning, match="stands alone"):
+        emit(data, mode=EmitMode.GROUPED, plan=OutputPlan([BlockSpec(has("notes"), attach_to="no_such")]))
+
+
 def test_matchers_and_names():
     a, t = frozenset({"cell"}), frozenset({"cell", "atom"})
     assert only("cell")(a, t) and not only("cell", "x")(a, t) and any_of("x", "cell")(a, t) and has("atom")(a, t) and not has("atom").excluding("cell")(a, t)

@@ -54,12 +54,12 @@ def emit_blocks(data: Dataset, schema: Schema | None = None, *, mode: EmitMode =
     render = _Renderer(schema, plan, mode, version, reconstruct_su, pretty, line_limit)
     rows = planned(rows, schema, plan) if plan.specs and mode in (EmitMode.GROUPED, EmitMode.ONE_BLOCK) else rows.withColumn("spec", F.lit(None).cast("int"))
     made = rows.groupBy("key").applyInPandas(lambda pdf: render(pdf), RENDERED)
-    order = ["position", "key"] if mode is EmitMode.ORIGINAL else ["spec", "name", "position", "key"]
-    # One row a block; numbering them is the price of an ordered file.
-    at = made.withColumn("_n", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(*order)))
-    name = F.when(F.col("_n") > 1, F.concat_ws("_", "name", F.col("_n").cast("string"))).otherwise(F.col("name"))
-    out = at.withColumn("name", name).withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)
-    return out.select("position", "name", F.concat(F.lit("data_"), "name", F.lit("\n"), "body").alias("text"))
+    order = ["_from", "key"] if mode is EmitMode.ORIGINAL else ["spec", "name", "_from", "key"]
+    made = made.withColumnRenamed("position", "_from")
+    n = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(*order))
+    named = made.withColumn("_n", n).withColumn("_name", F.when(F.col("_n") > 1, F.concat_ws("_", "name", F.col("_n").cast("string"))).otherwise(F.col("name")))
+    out = R.dense_ids(named, order, "position", -1)
+    return out.select("position", F.col("_name").alias("name"), F.concat(F.lit("data_"), "_name", F.lit("\n"), "body").alias("text"))
 
 
 # ---- which row goes where

@@ -278,7 +278,7 @@ def merge_table(raw: DataFrame, table: Table, existing: DataFrame | None = None)
 
 
 def _numbered(rows: DataFrame, table: Table) -> DataFrame:
-    numbered = R.dense_ids(rows.withColumn("_b", F.col(f"{ORDER}.block")), "_b", ORDER, ROW).drop("_b")
+    numbered = R.dense_ids(rows.drop(ROW), [ORDER], ROW)
     return numbered.select(*(F.col(c.name) for c in table.columns if c.name in numbered.columns), ORDER, LOOP, ITER)
 
 

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 Names = Sequence[str]
 
 
@@ -176,14 +178,14 @@ def keep_edge(df: DataFrame, by: Names, order: str, values: Names, last: bool =
     return df.groupBy(*by).agg((F.max if last else F.min)(order).alias(order), *(pick(c, order).alias(c) for c in rest))
 
 
-def dense_ids(df: DataFrame, group: str, order: str, name: str, start: int = 0) -> DataFrame:
-    """start + 1, + 2, ... in the order of (group, order). The offset of each group is a running sum over groups' counts;
-    only the rows of one group are numbered together."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.col(group).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    before = before.withColumnRenamed(group, "_group")
-    rows = df.join(before, df[group].eqNullSafe(before["_group"]))
-    return rows.withColumn(name, F.lit(start) + F.col("_before") + F.row_number().over(Window.partitionBy(group).orderBy(order))).drop("_group", "_before")
+def dense_ids(df: DataFrame, order: Names, name: str, start: int = 0) -> DataFrame:
+    """start + 1, + 2, ... in a total order, without gathering rows in one task: rows are dealt out by range and written
+    with their part; parts are numbered inside, and a running sum over the parts' sizes (a row a part) gives offsets."""
+    ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(before, "_part").withColumn(name, F.lit(start) + F.col("_before") + at).drop("_part", "_before")
 
 
 def number_repeats(df: DataFrame, by: str, order: str, name: str) -> DataFrame:
@@ -193,9 +195,8 @@ def number_repeats(df: DataFrame, by: str, order: str, name: str) -> DataFrame:
 
 
 def positional_zip(a: DataFrame, b: DataFrame, order_a: str, order_b: str, name: str = "r") -> DataFrame:
-    """Rows of small tables side by side, by position (for keys at scale join on stored positions)."""
-    number = lambda df, o: df.withColumn(name, F.row_number().over(Window.orderBy(o)))
-    return number(a, order_a).join(number(b, order_b), name, "full_outer")
+    """Rows side by side, by position."""
+    return dense_ids(a, [order_a], name).join(dense_ids(b, [order_b], name), name, "full_outer")
 
 
 # ---- sets
@@ -210,8 +211,7 @@ def in_any_or_unlisted(df: DataFrame, members: DataFrame, on: str, wanted: Colum
 def in_all(df: DataFrame, item: str, of: str) -> DataFrame:
     """Items that occur with as many distinct `of` as the most widespread item."""
     counts = df.groupBy(item).agg(F.count_distinct(of).alias("_n"))
-    most = counts.agg(F.max("_n").alias("_most"))
-    return counts.join(F.broadcast(most), F.col("_n") == F.col("_most")).select(item)  # one row
+    return counts.where(F.col("_n") == counts.agg(F.max("_n")).scalar()).select(item)
 
 
 def fingerprint(df: DataFrame, by: Names, value: str, name: str) -> DataFrame:

@@ -118,7 +118,7 @@ def strip_padding(s: SparkSession, d: str) -> DataFrame:
 
 
 def dense_row_ids(s: SparkSession, d: str) -> DataFrame:
-    return R.dense_ids(_t(s, d, "documents").select("doc_id", "source"), "source", "doc_id", "rid", 1000).select("doc_id", "rid")
+    return R.dense_ids(_t(s, d, "documents").select("doc_id", "source"), ["source", "doc_id"], "rid", 1000).select("doc_id", "rid")
 
 
 def name_disambiguation(s: SparkSession, d: str) -> DataFrame:
@@ -161,8 +161,7 @@ def positional_zip(s: SparkSession, d: str) -> DataFrame:
 
 def decimal_align(s: SparkSession, d: str) -> DataFrame:
     p = _t(s, d, "part").select("p_partkey", C.integer_part(F.col("p_retailprice").cast("decimal(12,2)").cast("string")).alias("ip"))
-    width = p.agg(F.max(F.length("ip")).alias("w"))
-    return p.crossJoin(F.broadcast(width)).select("p_partkey", F.expr("lpad(ip, w, ' ')").alias("ip"))  # width: one row
+    return p.select("p_partkey", F.lpad("ip", p.agg(F.max(F.length("ip"))).scalar(), F.lit(" ")).alias("ip"))
 
 
 def col_widths(s: SparkSession, d: str) -> DataFrame:

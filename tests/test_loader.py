@@ -308,8 +308,8 @@ def test_relational_edge_cases(spark):
     assert rows(R.merge_conflicts(df, ["k"], ["v"]), "k") == [(1,)]
     a, b = (spark.createDataFrame(x, "x int") for x in ([(1,), (1,), (2,), (None,)], [(1,), (3,), (None,)]))
     assert rows(R.multiset_difference(a, b), "side", "x") == [("a", 1), ("a", 2), ("b", 3)]
-    ids = R.dense_ids(df.withColumn("g", F.when(F.col("k") == 1, "x")), "g", "o", "r", 10)
-    assert rows(ids, "o", "r") == [(1, 14), (2, 11), (3, 12), (5, 13)]
+    ids = R.dense_ids(df.withColumn("g", F.when(F.col("k") == 1, "x")).repartition(3), ["g", "o"], "r", 10)
+    assert rows(ids, "o", "r") == [(1, 11), (2, 12), (3, 13), (5, 14)]
     assert rows(R.upsert_coalesce(a.selectExpr("x as k", "null as v").dropDuplicates(), b.selectExpr("x as k", "1 as v"), ["k"], ["v"]), "k", "v") == [(1, 1), (2, None), (3, 1), (None, 1)]
     assert R.natural_key_merge(df.limit(0), ["k"], ["v"], "o").count() == 0
 

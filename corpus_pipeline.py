@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from quasilattice.llm import decontaminate, jaccard_join, lang_crf, mixing, pfor
 from quasilattice.llm.common import read_table, written
 
-#: Texts whose best language has a smaller share of words are rejected, like those without letters.
-LEAST_SHARE = 0.4
+#: Texts without letters are rejected, and those whose best language has a smaller share of words.
+LEAST_SHARE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = lang_crf.identify(docs, lang_crf.fit(docs))
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).drop("lang_pred", "score")
+    named = lang_crf.identify(docs, lang_crf.fit(docs), ("_language", "_share"))
+    return named.where((F.col("_language") != "und") & (F.col("_share") >= LEAST_SHARE)).drop("_language", "_share")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

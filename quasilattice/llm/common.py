@@ -70,6 +70,7 @@ def chunks(column: pa.Array, max_bytes: int = CHUNK) -> Iterator[tuple[int, int,
         hi = min(hi, n)
         yield lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()  # workers live on: what a batch needed goes back
 
 
 def split_words(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -224,9 +224,10 @@ def training_rows(docs: DataFrame, sample_docs: int = 1200, sample_chars: int =
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score (also at the model's word level: see marginals)."""
-    spark = docs.sparkSession
+def identify(docs: DataFrame, model: Model, outputs: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score, in columns named by outputs (columns of these names are replaced).
+    For single words see marginals()."""
+    spark, docs = docs.sparkSession, docs.drop(*outputs)
     sent = spark.sparkContext.broadcast(model)
     names = docs.columns
     ready = docs.select(*(F.col(c) for c in names), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_has_letter"))
@@ -247,9 +248,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             best = share.argmax(axis=1)
             pred = [m.labels[b] if k else "und" for b, k in zip(best.tolist(), ok.tolist(), strict=True)]
             score = np.where(ok, np.clip(share.max(axis=1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(pred, pa.string()), pa.array(score)], names=[*names, *outputs])
 
-    schema = ready.drop("_has_letter").schema.add("lang_pred", "string").add("score", "double")
+    schema = ready.drop("_has_letter").schema.add(outputs[0], "string").add(outputs[1], "double")
     return ready.mapInArrow(label, schema)
 
 

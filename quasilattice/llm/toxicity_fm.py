@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 16_000, keep: int
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """docs with score and predicted."""
+    """docs with score and predicted (columns of these names are replaced)."""
+    docs = docs.drop("score", "predicted")
     sent, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

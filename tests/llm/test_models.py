@@ -56,7 +56,7 @@ def test_languages_of_held_out_documents(spark):
     odd = [(1000, None), (1001, ""), (1002, "12 34 !!"), (1003, rows[0][1]), (1003, rows[0][1]), (1004, words(rng, "aa", 20000)), (None, "bla kro")]
     docs = spark.createDataFrame([r[:3] for r in rows] + [(d, t, None) for d, t in odd], "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     model = lang_crf.fit(docs)
-    got = lang_crf.identify(docs.select("doc_id", "text"), model).collect()
+    got = lang_crf.identify(docs, model).collect()
     assert len(got) == len(rows) + len(odd)
     by_id = {r["doc_id"]: r for r in got}
     test = [(i, lang) for i, _, _, lang in rows if held_out(i)]
@@ -103,7 +103,7 @@ def test_interactions_are_learned(spark):
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string").withColumn("toxic", F.lit("clash"))
     marks = spark.createDataFrame([*labels, (None, 1), (7, None), (9999, 1)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
     model = toxicity_fm.fit(docs, marks)
-    got = {r["doc_id"]: r for r in toxicity_fm.score(docs.select("doc_id", "text"), model).collect()}
+    got = {r["doc_id"]: r for r in toxicity_fm.score(docs.withColumn("score", F.lit("clash")), model).collect()}
     test = [(got[i]["predicted"], y) for i, y in labels if held_out(i)]
     assert np.mean([p == y for p, y in test]) > 0.97
     assert got[5000]["score"] == got[5001]["score"] and got[5003]["score"] == got[3]["score"] and got[5002]["predicted"] == 0

@@ -300,7 +300,7 @@ def decode_coefficients(data: bytes) -> Picture:
                 p.rows, p.cols = units[0] * p.v, units[1] * p.h
                 p.own_rows, p.own_cols = -(-(-(-picture.height * p.v // v)) // 8), -(-(-(-picture.width * p.h // h)) // 8)
                 p.coef = np.zeros((p.rows * p.cols, 64), dtype=np.int32)
-        elif marker in (0xC0, 0xC1, *range(0xC3, 0xC4), *range(0xC5, 0xD0)):
+        elif marker in (0xC0, 0xC1, 0xC3, *range(0xC5, 0xD0)):
             raise ValueError("not a progressive Huffman-coded JPEG")
         elif marker == 0xDA:
             n = body[0]
@@ -524,7 +524,6 @@ def encode_image(rgb: np.ndarray, quant: int = 8) -> tuple[bytes, list[np.ndarra
                 last[k] = v
     dht, data = w.done(0)
     out += [dht, scan_head([1, 2, 3], 0, 0, 0, 1), data]
-    own = [-(-height // 8) * 0 + 0] * 3
     own = [(-(-height // 8), -(-width // 8), 2 * cols), (-(-(-(-height // 2)) // 8), -(-(-(-width // 2)) // 8), cols), (-(-(-(-height // 2)) // 8), -(-(-(-width // 2)) // 8), cols)]
     for first, end, high, low in ((1, 5, 0, 2), (6, 63, 0, 2), (1, 63, 2, 1), (1, 63, 1, 0)):
         for k in range(3):

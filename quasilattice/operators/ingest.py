@@ -99,7 +99,7 @@ def route(cells: DataFrame, schema: Schema) -> DataFrame:
     return routed.withColumn("ref_table", near).withColumn("table_name", home).drop("_near")
 
 
-def _container_su(value: Col) -> Col:
+def container_su(value: Col) -> Col:
     """number, su of a stored container: of any depth, so by an Arrow-batched Python function."""
 
     def split(value: str):
@@ -125,7 +125,7 @@ def split_uncertainties(routed: DataFrame) -> DataFrame:
         return rows.withColumn("column_name", F.col("_p.c")).withColumn("value", F.col("_p.v")).withColumn("rank", F.col("_p.r")).drop("_p")
 
     plain = both(base.where(has & ~box), number, su)
-    boxed = base.where(has & box).withColumn("_s", _container_su(F.col("value")))
+    boxed = base.where(has & box).withColumn("_s", container_su(F.col("value")))
     return base.where(~has).unionByName(plain).unionByName(both(boxed, F.col("_s.number"), F.col("_s.su")).drop("_s"))
 
 

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.quoting import quote_text
 from ..operators import relational as R
 from ..operators.convert import convert_database, generate_defaults
 from ..operators.emit import emit_blocks
 from ..operators.fidelity import compare_fallback, compare_tables
-from ..operators.ingest import Dataset, ingest
+from ..operators.ingest import Dataset, container_su, ingest
 from ..operators.validate import validate_database
 from ..sources.cells import CELLS, cells_of_texts, errors_of_texts, tokens_of_texts
 from .output import EmitMode
@@ -64,6 +65,20 @@ def cif_malformed_recovery(s: SparkSession, d: str) -> DataFrame:
     return values.join(errors, "source", "left")
 
 
+def text_field_protocols(s: SparkSession, d: str) -> DataFrame:
+    """Whole documents written as values, in folded and prefixed text fields where they need them, and read back."""
+    token = F.udf(lambda t: None if t is None else quote_text(t, line_limit=80), "string", useArrow=True)
+    texts = _t(s, d, "documents").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("source"), F.concat(F.lit("#\\#CIF_2.0\ndata_d\n_text "), token("text"), F.lit("\n")).alias("content"))
+    return cells_of_texts(texts).select(F.col("source").cast("long").alias("doc_id"), F.md5("value").alias("digest"))
+
+
+def container_split_su(s: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    stored = F.concat(F.lit('\x00["'), size, F.lit('.25(3)",["'), size, F.lit('"]]'))
+    both = _t(s, d, "part").select("p_partkey", container_su(stored).alias("x"))
+    return both.select("p_partkey", F.substring("x.number", 2, 100).alias("number"), F.substring("x.su", 2, 100).alias("su"))
+
+
 # ---- loading
 
 
@@ -180,7 +195,7 @@ def emit_all_blocks(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    cif_tokens, cif_roundtrip, cif_malformed_recovery, propagate_full, load_fallback, load_metatable, defaults_fixpoint,
+    cif_tokens, cif_roundtrip, cif_malformed_recovery, text_field_protocols, container_split_su, propagate_full, load_fallback, load_metatable, defaults_fixpoint,
     typed_export, validate_states, fidelity_self, emit_original, emit_grouped, emit_one_block, emit_all_blocks,
 )}
 
@@ -189,6 +204,8 @@ ORACLE_SQL = {
     "cif_tokens": _PER_TEXT.format("4 + 2 * count(*) AS n, 2 * count(*) AS n_values"),
     "cif_roundtrip": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders",
     "cif_malformed_recovery": _PER_TEXT.format("2 * count(*) - 1 AS n_values, 1::BIGINT AS n_errors"),
+    "text_field_protocols": "SELECT doc_id, md5(text) AS digest FROM documents WHERE length(text) > 0",
+    "container_split_su": """SELECT p_partkey, '["' || p_size || '.25",["' || p_size || '"]]' AS number, '["0.03",["0"]]' AS su FROM part""",
     "propagate_full": "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders",
     "load_fallback": "SELECT DISTINCT 'c' || o_custkey::VARCHAR AS block_id, '_shop.unknown' AS tag, 'u' AS value FROM orders",
     "load_metatable": "SELECT 'customer' AS table_name, 'id' AS column_name, count(DISTINCT o_custkey) AS n FROM orders UNION ALL SELECT 'customer', 'segment', 0 UNION ALL SELECT 'order', c, n FROM (SELECT unnest(['id', 'customer_id', 'priority', 'note']) AS c, unnest([count(*), count(*), count(*), 0]) AS n FROM orders)",

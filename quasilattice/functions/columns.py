@@ -31,18 +31,22 @@ def split_su(x: Column) -> tuple[Column, Column]:
     """`num(su)` -> (num, su scaled to num's last place), as exact decimal text; other values -> (value, null).
 
     The place is the number of decimals less the exponent; digits are shifted as text, never as floating point."""
-    plain = F.regexp_replace(x, r"[eE][+-]?\d+(?=\()", "")
-    has = x.rlike(SU)
-    su = F.regexp_extract(x, SU, 2)
-    decimals = F.length(F.regexp_extract(plain, r"\.(\d*)\(", 1))
-    exponent = F.coalesce(F.regexp_extract(x, r"[eE]([+-]?\d+)\(", 1).try_cast("int"), F.lit(0))
-    places = decimals - exponent
-    digits = F.regexp_replace(su, "^0+(?=.)", "")
-    padded = F.when(F.length(digits) <= places, F.lpad(digits, places + 1, F.lit("0"))).otherwise(digits)
-    below = F.concat(F.substring(padded, F.lit(1), F.length(padded) - places), F.lit("."), F.substring(padded, F.length(padded) - places + 1, places))
-    above = F.when(digits == "0", digits).otherwise(F.concat(digits, F.repeat(F.lit("0"), -places)))
-    scaled = F.when(places > 0, below).otherwise(above)
-    return F.when(has, F.regexp_extract(x, SU, 1)).otherwise(x), F.when(has, scaled)
+    has = F.contains(x, F.lit("(")) & x.rlike(SU)
+    parts = F.struct(
+        F.regexp_replace(F.regexp_extract(x, SU, 2), "^0+(?=.)", "").alias("digits"),
+        (F.length(F.regexp_extract(x, r"\.(\d*)(?:[eE][+-]?\d+)?\(", 1)) - F.coalesce(F.regexp_extract(x, r"[eE]([+-]?\d+)\(", 1).try_cast("int"), F.lit(0))).alias("places"),
+    )
+
+    def scaled(p: Column) -> Column:
+        places = p["places"]
+        padded = F.lpad(p["digits"], F.greatest(places + 1, F.length(p["digits"])), F.lit("0"))
+        below = F.concat(F.substring(padded, F.lit(1), F.length(padded) - places), F.lit("."), F.substring(padded, F.length(padded) - places + 1, places))
+        above = F.when(p["digits"] == "0", p["digits"]).otherwise(F.concat(p["digits"], F.repeat(F.lit("0"), -places)))
+        return F.when(places > 0, below).otherwise(above)
+
+    # A one-element transform binds the parts: each regex runs once a value.
+    su = F.element_at(F.transform(F.array(parts), scaled), 1)
+    return F.when(has, F.regexp_extract(x, SU, 1)).otherwise(x), F.when(has, su)
 
 
 def merged_su(measurand: Column, su: Column) -> Column:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans.schema import BLOCK, Column, Table
 from . import relational as R
-from .ingest import ITER, LOOP, ORDER, Dataset
+from .ingest import ITER, LOOP, ORDER, SHOWN, Dataset
 from .storage import written
 
 NUMERIC = ("Integer", "Real", "Float")
+LOSSES = "kind string, table_name string, column_name string, value string"
 
 
 def is_numeric(column: Column) -> bool:
@@ -52,20 +53,23 @@ def cast_failures(df: DataFrame, table: Table) -> DataFrame:
 
 
 def convert_database(data: Dataset, on_coercion_failure: str = "null") -> tuple[dict[str, DataFrame], list[str]]:
-    """Typed DataFrames of all tables and what was lost. on_coercion_failure: `null` (or `keep`, which typed columns can't
-    do otherwise), or `error`."""
+    """Typed DataFrames of all tables and what was lost: all of it as `_losses` (LOSSES), and texts for display, at most
+    SHOWN of each table and kind. on_coercion_failure: `null` (or `keep`, which typed columns can't do otherwise), or `error`."""
     if on_coercion_failure not in ("null", "keep", "error"):
         raise ValueError(f"on_coercion_failure: {on_coercion_failure!r}")
-    out, messages = {}, []
+    out, messages, losses = {}, [], data.spark.createDataFrame([], LOSSES)
     for t, df in data.tables.items():
         table = data.schema.tables[t]
-        bad = cast_failures(df, table).orderBy("column_name", "value").limit(1000).collect()
-        if bad and on_coercion_failure == "error":
-            raise ValueError(f"{t}.{bad[0]['column_name']}: {bad[0]['value']!r} isn't a number")
-        messages += [f"{t}.{r['column_name']}: {r['value']!r} isn't a number" for r in bad]
-        messages += [f"{t}.{r['column_name']}: uncertainty of {r['value']!r} is dropped" for r in lost_uncertainties(df, table).orderBy("column_name", "value").limit(1000).collect()]
+        for kind, rows, text in (("cast_failure", cast_failures(df, table), "{!r} isn't a number"), ("lost_uncertainty", lost_uncertainties(df, table), "uncertainty of {!r} is dropped")):
+            first = rows.orderBy("column_name", "value").limit(SHOWN + 1).collect()
+            if first and kind == "cast_failure" and on_coercion_failure == "error":
+                raise ValueError(f"{t}.{first[0]['column_name']}: {first[0]['value']!r} isn't a number")
+            messages += [f"{t}.{r['column_name']}: {text.format(r['value'])}" for r in first[:SHOWN]]
+            if len(first) > SHOWN:
+                messages.append(f"{t}: {rows.count()} of {kind} in all, the first {SHOWN} are listed; _losses has all")
+            losses = losses.unionByName(rows.select(F.lit(kind).alias("kind"), F.lit(t).alias("table_name"), "column_name", "value"))
         out[t] = df.select(*(cast_expression(c).alias(c.name) for c in table.columns if c.name in df.columns))
-    return out | {f"_{k}": v for k, v in data.infra.items()}, messages
+    return out | {f"_{k}": v for k, v in data.infra.items()} | {"_losses": losses}, messages
 
 
 def _key_path(table: Table, column: Column, data: Dataset) -> list[tuple[str, str, str]] | None:

@@ -23,8 +23,9 @@ SHOWN = 200
 @dataclass
 class FidelityReport:
     passed: bool
-    mismatches: list = field(default_factory=list)  # rows of MISMATCHES, in order; at most SHOWN of each table and side
+    mismatches: list = field(default_factory=list)  # rows of MISMATCHES, in order; at most SHOWN in all
     frame: DataFrame | None = None  # all of them
+    total: int = 0  # how many there are
 
 
 def load_source(source: str | Path | CifFile) -> tuple[CifFile, list]:
@@ -141,7 +142,7 @@ def check_fidelity(a: str | Path | CifFile, b: str | Path | CifFile, schema: Sch
         for f in compare_tables(*data):
             frame = frame.unionByName(f)
     shown = frame.orderBy("kind", "table_name", "side", "detail").limit(SHOWN).collect()
-    report = FidelityReport(not shown, shown, frame)
+    report = FidelityReport(not shown, shown, frame, frame.count() if len(shown) == SHOWN else len(shown))
     if report_file:
         Path(report_file).write_text(format_report(report), encoding="utf-8")
     return report
@@ -159,7 +160,7 @@ def nearest_row(row: dict, others: list[dict]) -> list[str]:
 def format_report(report: FidelityReport) -> str:
     import json
 
-    lines = ["equal" if report.passed else f"{len(report.mismatches)} differences (at most {SHOWN} are listed)"]
+    lines = ["equal" if report.passed else f"{max(report.total, len(report.mismatches))} differences" + (f" (the first {len(report.mismatches)} are listed)" if report.total > len(report.mismatches) else "")]
     rows = [m for m in report.mismatches if m["kind"] == "row_content"]
     for m in report.mismatches:
         lines.append(f"{m['kind']} [{m['side']}] {m['table_name'] or ''} {m['detail']}".rstrip())

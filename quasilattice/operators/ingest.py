@@ -27,6 +27,8 @@ DATASET_TAG = "_audit_dataset.id"
 LOOP, ITER, ORDER = "_loop", "_iter", "_order"
 META = [BLOCK, LOOP, ITER, ORDER]
 MAX_HOPS = 8
+PROBLEMS = "kind string, block_id string, table_name string, column_name string, detail string"
+SHOWN = 1000
 _NO_EVENT = 1 << 30
 
 
@@ -36,23 +38,30 @@ class IngestionError(ValueError):
 
 @dataclass
 class Dataset:
-    """Loaded tables: one DataFrame for each category with rows, and the infrastructure tables."""
+    """Loaded tables: one DataFrame for each category with rows, and the infrastructure tables. problems: all that was odd on
+    loading (PROBLEMS); messages: its text for display, at most SHOWN of each kind and table."""
 
     spark: SparkSession
     schema: Schema
     tables: dict[str, DataFrame] = field(default_factory=dict)
     infra: dict[str, DataFrame] = field(default_factory=dict)
     messages: list[str] = field(default_factory=list)
+    problems: DataFrame | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in INFRASTRUCTURE:
             return self.infra[name]
         raise AttributeError(name)
 
+    def stored(self) -> dict[str, DataFrame]:
+        """All DataFrames by the names they are kept under."""
+        own = {} if self.problems is None else {"_problems": self.problems}
+        return {**self.tables, **{f"_{k}": v for k, v in self.infra.items()}, **own}
+
     def save(self, database: str, mode: str = "overwrite") -> None:
         """As managed tables of a catalog database."""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-        for name, df in {**self.tables, **{f"_{k}": v for k, v in self.infra.items()}}.items():
+        for name, df in self.stored().items():
             df.drop(ORDER, LOOP, ITER).write.mode(mode).saveAsTable(f"{database}.`{name}`")
 
 
@@ -284,7 +293,7 @@ def _numbered(rows: DataFrame, table: Table) -> DataFrame:
 
 def ingest(source: CifFile | DataFrame, schema: Schema | None = None, *, spark: SparkSession | None = None, dataset_id: str | None = None, propagate_fk: bool = True, into: Dataset | None = None) -> Dataset:
     """Load a model or cells. Without a schema all values go to the fallback table. into: a loaded dataset to add to, whose
-    values win. What is odd is told in messages and in the validation table."""
+    values win. What is odd is kept in problems, told in messages and in the validation table."""
     spark = spark or (into.spark if into else source.sparkSession if isinstance(source, DataFrame) else SparkSession.getActiveSession())
     cells = source if isinstance(source, DataFrame) else cells_frame(spark, source)
     schema = schema or (into.schema if into else Schema())
@@ -295,10 +304,7 @@ def ingest(source: CifFile | DataFrame, schema: Schema | None = None, *, spark:
     out = Dataset(spark, schema)
     routed = written(split_uncertainties(route(cells, schema)), "routed")
     populated = sorted(r[0] for r in routed.where("table_name IS NOT NULL").select("table_name").distinct().collect())  # table names
-    out.messages += [f"block {r['block_id']}: loop {r['loop_idx']} has categories with different keys; it goes to the fallback" for r in routed.where("mixed_loop").select("block_id", "loop_idx").distinct().orderBy("block_id", "loop_idx").limit(1000).collect()]
-    for r in routed.where("deprecated").select("block_id", "tag").distinct().orderBy("block_id", "tag").limit(1000).collect():
-        instead = schema.deprecated_replacements.get(r["tag"]) or []
-        out.messages.append(f"block {r['block_id']}: tag {r['tag']} is deprecated" + (f"; use {', '.join(instead)}" if instead else ""))
+    problems = [mixed_loops(routed), deprecations(routed, schema)]
     load = _Load(spark, schema, {t: raw_table(routed, schema.tables[t]) for t in populated})
     load.cut()
     if propagate_fk and populated:
@@ -322,10 +328,59 @@ def ingest(source: CifFile | DataFrame, schema: Schema | None = None, *, spark:
             final, conflicts, seen = merge_table(raw, schema.tables[t], old)
             out.tables[t] = written(final, f"table-{t}")
             presence.append(seen)
-            out.messages += [f"table {t}, key {', '.join(str(r[k]) for k in schema.tables[t].keys)}: several values of {r['column_name']}; the first stays" for r in conflicts.orderBy("column_name").limit(1000).collect()]
+            problems.append(conflict_problems(conflicts, schema.tables[t]))
     for t, df in out.tables.items():
         counts.append(R.non_null_counts(df, schema.tables[t].data, "column_name", "n").select(F.lit(t).alias("table_name"), "column_name", "n"))
     _infrastructure(out, cells, routed, presence, counts, into)
+    found = spark.createDataFrame([], PROBLEMS)
+    for p in problems:
+        found = found.unionByName(p)
+    out.problems = written(found, "problems")
+    out.messages += told(out.problems)
+    if into is not None and into.problems is not None:
+        out.problems = written(into.problems.unionByName(out.problems).distinct(), "problems")
+    return out
+
+
+def mixed_loops(routed: DataFrame) -> DataFrame:
+    """PROBLEMS: loops whose categories have different keys."""
+    loops = routed.where("mixed_loop").select("block_id", "loop_idx").distinct()
+    detail = F.format_string("block %s: loop %s has categories with different keys; it goes to the fallback", "block_id", F.col("loop_idx").cast("string"))
+    return _problems(loops, "mixed_loop", detail, block_id=F.col("block_id"))
+
+
+def deprecations(routed: DataFrame, schema: Schema) -> DataFrame:
+    """PROBLEMS: deprecated tags of each block."""
+    used = routed.where("deprecated").select("block_id", "tag").distinct()
+    instead = [(tag, ", ".join(to)) for tag, to in schema.deprecated_replacements.items() if to]
+    used = used.join(routed.sparkSession.createDataFrame(instead, "tag string, _instead string"), "tag", "left")
+    detail = F.concat(F.format_string("block %s: tag %s is deprecated", "block_id", "tag"), F.coalesce(F.concat(F.lit("; use "), "_instead"), F.lit("")))
+    return _problems(used, "deprecated_tag", detail, block_id=F.col("block_id"))
+
+
+def conflict_problems(conflicts: DataFrame, table: Table) -> DataFrame:
+    """PROBLEMS: a row for each conflict of merge_table()."""
+    if not table.keys:
+        return conflicts.sparkSession.createDataFrame([], PROBLEMS)
+    keys = [F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in table.keys if k in conflicts.columns]
+    detail = F.concat(F.lit(f"table {table.name}, key "), F.concat_ws(", ", *keys), F.lit(": several values of "), F.col("column_name"), F.lit("; the first stays"))
+    return _problems(conflicts, "merge_conflict", detail, table_name=F.lit(table.name), column_name=F.col("column_name"))
+
+
+def _problems(rows: DataFrame, kind: str, detail: Col, **places: Col) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return rows.select(F.lit(kind).alias("kind"), *(places.get(c, none).alias(c) for c in ("block_id", "table_name", "column_name")), detail.alias("detail"))
+
+
+def told(problems: DataFrame) -> list[str]:
+    """Texts for display: of each kind and table the first SHOWN, and if these aren't all, how many there are."""
+    out = []
+    groups = problems.groupBy("kind", "table_name").agg(F.count(F.lit(1)).alias("n")).collect()  # kinds and table names
+    for g in sorted(groups, key=lambda g: (g["kind"] == "merge_conflict", g["kind"] != "mixed_loop", g["table_name"] or "")):
+        rows = problems.where((F.col("kind") == g["kind"]) & F.col("table_name").eqNullSafe(F.lit(g["table_name"])))
+        out += [r["detail"] for r in rows.orderBy("block_id", "column_name", "detail").limit(SHOWN).collect()]
+        if g["n"] > SHOWN:
+            out.append(f"{g['kind']}{' of table ' + g['table_name'] if g['table_name'] else ''}: {g['n']} in all, the first {SHOWN} are listed; problems has all")
     return out
 
 

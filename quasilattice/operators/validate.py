@@ -181,6 +181,13 @@ def validate_database(data: Dataset, *, block_id: str | None = None) -> DataFram
     return out if block_id is None else out.where(F.col("block_id") == block_id)
 
 
+def ingest_issues(data: Dataset) -> DataFrame:
+    """ISSUES of loading: all problems, not only those that messages lists."""
+    if data.problems is None:
+        return data.spark.createDataFrame([("ingest", "Warning", None, None, None, None, None, m) for m in data.messages], ISSUES)
+    return data.problems.select(F.lit("ingest").alias("check_name"), F.lit("Warning").alias("severity"), "table_name", "column_name", "block_id", F.lit(None).cast("long").alias("row_id"), F.lit(None).cast("string").alias("value"), "detail")
+
+
 def validate(source: str | CifFile, schema: Schema, *, spark=None, block_id: str | None = None, dataset_id: str | None = None, propagate_fk: bool = True) -> ValidationReport:
     """Parse, load, check: one report. Never raises on what it is given."""
     from pyspark.sql import SparkSession
@@ -191,7 +198,7 @@ def validate(source: str | CifFile, schema: Schema, *, spark=None, block_id: str
     found = spark.createDataFrame(rows, ISSUES)
     try:
         data = ingest(cif, schema, spark=spark, dataset_id=dataset_id, propagate_fk=propagate_fk)
-        found = found.unionByName(spark.createDataFrame([("ingest", "Warning", None, None, None, None, None, m) for m in data.messages], ISSUES)).unionByName(validate_database(data, block_id=block_id))
+        found = found.unionByName(ingest_issues(data)).unionByName(validate_database(data, block_id=block_id))
     except IngestionError as e:
         found = found.unionByName(spark.createDataFrame([("ingest", "Error", None, None, None, None, None, str(e))], ISSUES))
     return ValidationReport(found.where("severity = 'Error'").isEmpty(), found, errors)

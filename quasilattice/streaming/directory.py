@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,8 +32,6 @@ class DatasetStore:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def versions(self) -> dict[int, list[str]]:
-        from pyspark.errors import AnalysisException
-
         try:
             rows = self.spark.read.schema("version long, tables string").json(f"{self.path}/states").collect()  # one a batch
         except AnalysisException:
@@ -46,10 +45,14 @@ class DatasetStore:
         if at is None:
             return None
         read = lambda name: self.spark.read.parquet(f"{self.path}/v{at}/{name}")
-        return Dataset(self.spark, self.schema, {t: read(t) for t in known[at]}, {k: read(f"_{k}") for k in INFRASTRUCTURE})
+        try:
+            problems = read("_problems")
+        except AnalysisException:  # a state of before problems were kept
+            problems = None
+        return Dataset(self.spark, self.schema, {t: read(t) for t in known[at]}, {k: read(f"_{k}") for k in INFRASTRUCTURE}, problems=problems)
 
     def save(self, data: Dataset, version: int) -> None:
-        for name, df in {**data.tables, **{f"_{k}": v for k, v in data.infra.items()}}.items():
+        for name, df in data.stored().items():
             df.write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
         if version not in self.versions():
             self.spark.createDataFrame([(version, json.dumps(sorted(data.tables)))], "version long, tables string").coalesce(1).write.mode("append").json(f"{self.path}/states")

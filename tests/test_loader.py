@@ -323,3 +323,29 @@ def test_views(spark, loaded):
     text = out.getvalue()
     assert "CREATE TABLE" in text and "loop_start" in text and "missing-value" in text and "Loops without a key from a Set" in text
     assert inspection.fmt_value("x" * 40) == "x" * 15 + " … " + "x" * 5
+
+
+def counted():
+    return schema(table("v", "Loop", [col("v", "id"), col("v", "n", "Integer")], ["id"]))
+
+
+def test_all_problems_are_kept(spark):
+    """More conflicts and lost values than are shown."""
+    n = 1100
+    loop = lambda k: "loop_\n_v.id\n_v.n\n" + "".join(f"A{i} n{i}.{k}\n" for i in range(n))
+    text, s = V2 + "data_a\n" + loop(1) + "data_b\n" + loop(2), counted()
+    issues = validate(text, s, spark=spark).issues.where("check_name = 'ingest'").select("detail").collect()
+    assert len([r for r in issues if "several values of n" in r["detail"]]) == len(set(issues)) == n
+    data = ingest(build(text)[0], s, spark=spark)
+    assert data.problems.where("kind = 'merge_conflict' AND column_name = 'n'").count() == n
+    assert any(f"{n} in all" in m for m in data.messages) and sum("several values of n" in m for m in data.messages) == 1000
+    assert ingest(build(V2 + "data_c\nloop_\n_v.id\n_v.n\nB 1\n")[0], into=data).problems.count() == n
+    tables, messages = convert_database(data)
+    assert tables["_losses"].where("kind = 'cast_failure'").count() == n and any(f"{n} of cast_failure in all" in m for m in messages)
+
+
+def test_reports_tell_the_true_number_of_differences(spark, tmp_path):
+    one = lambda k: V2 + "data_a\nloop_\n_v.id\n_v.n\n" + "".join(f"A{i} {i}{k}\n" for i in range(150))
+    report = check_fidelity(one(1), one(2), counted(), spark=spark, report_file=str(tmp_path / "r.txt"))
+    assert report.total == report.frame.count() == 300 and len(report.mismatches) == 200
+    assert (tmp_path / "r.txt").read_text().startswith("300 differences (the first 200 are listed)")

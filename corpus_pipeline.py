@@ -37,7 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pfor.token_output(spark, docs)
+    return pfor.token_output(spark, docs, ordinary=False)
 
 
 STAGES = [

@@ -154,14 +154,14 @@ def _ends(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return np.where(size > 0, head, 0), np.where(size > 0, tail, 0)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder_for(path: str) -> Encoder:
+def encoder_for(path: str, ordinary: bool = False) -> Encoder:
     """One encoder for each worker process: what it has learned serves later tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, ordinary) not in _ENCODERS:
+        _ENCODERS[path, ordinary] = Encoder(path, ordinary=ordinary)
+    return _ENCODERS[path, ordinary]
 
 
 class Encoder:
@@ -169,13 +169,20 @@ class Encoder:
 
     A segment is a run of blanks and line ends with the ink after it. The tokenizer's pre-tokens always end where such a
     run follows ink, so the ids of a text are those of its segments. New segments are joined and encoded together; the
-    ids' own byte lengths tell where each ends. Segments are found by hash; length, first and last eight bytes must agree."""
+    ids' own byte lengths tell where each ends. Segments are found by hash; length, first and last eight bytes must agree.
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    Texts with the string of an added token are encoded in one piece, as the library does by default: the string becomes
+    the token's id. ordinary: such strings are text like other text."""
+
+    def __init__(self, path: str, keep: int = 1_000_000, ordinary: bool = False):
         from tokenizers import Tokenizer
 
         self.tok, self.keep = Tokenizer.from_file(path), keep
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = ordinary
+        # Added tokens that aren't special are found whatever the setting; normalised ones may match other spellings.
+        added = [t for t in self.tok.get_added_tokens_decoder().values() if not (ordinary and t.special)]
+        loose = any(t.normalized and self.tok.normalizer is not None for t in added)
+        self.whole = re.compile("|".join([_ODD.pattern, *(re.escape(t.content) for t in added)]) if not loose else "")
         vocab = self.tok.get_vocab()
         self.id_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
@@ -225,7 +232,7 @@ class Encoder:
         """Ids of all texts one after the other, and the number of ids of each. buf, off: the texts' bytes and offsets."""
         if len(self.key) > self.keep:
             self.clear()
-        odd = np.fromiter((bool(_ODD.search(t)) for t in texts), dtype=bool, count=len(texts))
+        odd = np.fromiter((bool(self.whole.search(t)) for t in texts), dtype=bool, count=len(texts))
         _, ends, words = split_words(buf, off, _GAP)
         starts = np.empty_like(ends)
         starts[1:] = ends[:-1]
@@ -276,7 +283,7 @@ class Encoder:
 FILES = "part long, seq long, first_doc long, last_doc long, n_ids long, file binary"
 
 
-def encode_files(docs: DataFrame, tokenizer: str, shard_ids: int = 1 << 20, end_id: int = 0, percentile: float = 98.0) -> DataFrame:
+def encode_files(docs: DataFrame, tokenizer: str, shard_ids: int = 1 << 20, end_id: int = 0, percentile: float = 98.0, ordinary: bool = True) -> DataFrame:
     """Shard files of docs(doc_id, text), in ascending doc_id order: a range shuffle of the texts, then all in one pass."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
@@ -284,7 +291,7 @@ def encode_files(docs: DataFrame, tokenizer: str, shard_ids: int = 1 << 20, end_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, encoder = TaskContext.get().partitionId(), 0, encoder_for(tokenizer)
+        part, seq, encoder = TaskContext.get().partitionId(), 0, encoder_for(tokenizer, ordinary)
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         names: list[int | None] = []
@@ -351,11 +358,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def token_output(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
-    """Encode docs, write the files at path (default: the shared folder), and report what they hold."""
-    files = encode_files(docs, tokenizer or tokenizer_path())
+def token_output(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, path: str | None = None, ordinary: bool = True) -> DataFrame:
+    """Encode docs, write the files at path (default: the shared folder), and report what they hold. ordinary: strings of
+    special tokens are ordinary text; if not, they become the tokens' ids, as by the library's default."""
+    files = encode_files(docs, tokenizer or tokenizer_path(), ordinary=ordinary)
     return read_documents(write_files(files, path or new_path(spark, "pfor")))
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output(spark, read_table(spark, sf_dir, "documents"))
+    return token_output(spark, read_table(spark, sf_dir, "documents"), ordinary=False)

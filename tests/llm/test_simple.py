@@ -158,6 +158,18 @@ def test_token_files_equal_the_library(spark):
     assert pfor.token_output(spark, docs.limit(0)).count() == 0
 
 
+def test_token_query_encodes_by_the_library_default(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(pfor.tokenizer_path())
+    texts = ["don't <|endoftext|> it's", "<|endoftext|>", "a<|endoftext|>b <|endoftext|>\nc", "<|endoftext |> plain", "plain words"]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = pfor.op10_token_output(spark, str(tmp_path)).orderBy("start").collect()
+    ids = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for x in ids]
+    assert [x.count(50256) for x in ids] == [1, 1, 2, 0, 0]
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 127, 128, 129, 5000):

@@ -3,7 +3,7 @@
 Words are runs of letters. A word's emission scores are sums of hashed feature weights: two prefixes, two suffixes, all
 character trigrams (bytes) and the word itself (the lexicon). Transitions between languages are learned with them by
 gradient ascent on the conditional likelihood of sequences spliced from passages of several documents, so that switches
-occur. Forward-backward gives each word's language distribution; a text's language is the one with most expected words,
+occur; texts of any length teach. Forward-backward gives each word's language distribution; a text's language is the one with most expected words,
 its score that share.
 
 Long texts are cut into blocks whose transfer matrices are chained, so that a whole text is labelled exactly and many
@@ -140,7 +140,9 @@ def marginals(scores: np.ndarray, words: np.ndarray, transitions: np.ndarray) ->
 
 
 def train(texts: list[str], langs: list[str], passage: int = 16, splices: int = 4, sequences: int = 5000, epochs: int = 6, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> Model:
-    """Fit weights and transitions on `sequences` sequences of `splices` passages of `passage` words."""
+    """Fit weights and transitions on `sequences` sequences of `splices` passages of `passage` words. Texts shorter than a
+    passage and last parts of texts are passages too, filled up by going round their words; passages of a language are drawn
+    in proportion to their own words, so that all its words teach equally often."""
     labels = sorted(set(langs))
     lookup = {x: i for i, x in enumerate(labels)}
     n_labels, rng = len(labels), np.random.default_rng(seed)
@@ -169,20 +171,21 @@ def train(texts: list[str], langs: list[str], passage: int = 16, splices: int =
     flat, sizes = np.concatenate([f for f, _ in feats]), np.concatenate([z for _, z in feats])
     starts = np.cumsum(sizes) - sizes
     spans, gold = np.array(spans, dtype=np.int64), np.array(gold)
-    spans, gold = spans[spans[:, 1] - spans[:, 0] == passage], gold[spans[:, 1] - spans[:, 0] == passage]
+    width = spans[:, 1] - spans[:, 0] if len(spans) else np.zeros(0, np.int64)
     weights, moves = np.zeros((TABLE, n_labels)), np.zeros((n_labels, n_labels))
     g_weights, g_moves = np.full((TABLE, n_labels), 1e-3), np.full((n_labels, n_labels), 1e-3)
     if not len(spans):
         return Model(labels, weights.astype(np.float32), moves)
     by_label = [np.flatnonzero(gold == y) for y in range(n_labels)]
-    by_label = [x for x in by_label if len(x)]
+    by_label = [(x, np.cumsum(width[x])) for x in by_label if len(x)]
     size, steps = 256, splices * passage
     for _ in range(epochs):
         for _ in range(max(1, sequences // size)):
             # Languages evenly, so that no language is favoured for being frequent.
-            pick = np.array([rng.choice(by_label[rng.integers(len(by_label))]) for _ in range(size * splices)])
+            drawn = [by_label[i] for i in rng.integers(len(by_label), size=size * splices)]
+            pick = np.array([x[np.searchsorted(ends, rng.integers(ends[-1]), "right")] for x, ends in drawn])
             y = np.repeat(gold[pick], passage).reshape(size, steps)
-            word = ragged(spans[pick, 0], np.full(len(pick), passage))
+            word = (spans[pick, 0][:, None] + np.arange(passage) % width[pick][:, None]).ravel()
             f = flat[ragged(starts[word], sizes[word])]
             bound = np.cumsum(sizes[word]) - sizes[word]
             score = np.add.reduceat(weights[f], bound, axis=0).reshape(size, steps, n_labels)

@@ -80,6 +80,23 @@ def test_switches_are_labelled_word_by_word():
     assert (best == np.repeat([0, 1], 30)).mean() > 0.95
 
 
+def test_short_texts_teach():
+    """A language whose texts are all under a passage, and one that is written without blanks."""
+    rng = random.Random(4)
+    glue = lambda lang, n: words(rng, lang, n).replace(" ", "")
+    make = {"aa": lambda: words(rng, "aa", 40), "bb": lambda: words(rng, "bb", rng.randrange(2, 12)), "cc": lambda: glue("cc", 20)}
+    texts, langs = zip(*((f(), lang) for lang, f in make.items() for _ in range(60)), strict=True)
+    model = lang_crf.train(list(texts), list(langs), sequences=1500)
+    right = []
+    for lang, f in make.items():
+        for text in (f() for _ in range(20)):
+            _, _, raw, off = next(chunks(texts_of(pa.array([text]))))
+            s, e, n = lang_crf.split_words(raw, off, lang_crf._NOT_LETTER)
+            got = lang_crf.marginals(lang_crf.emissions(model.weights, raw, s, e), n, model.transitions).sum(axis=0)
+            right.append(model.labels[got.argmax()] == lang)
+    assert np.mean(right) > 0.95
+
+
 def brute_score(model, text):
     """The machine's value by its definition: all pairs."""
     _, _, raw, off = next(chunks(texts_of(pa.array([text]))))

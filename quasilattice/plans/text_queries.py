@@ -118,17 +118,8 @@ def shop_cells(s: SparkSession, d: str) -> DataFrame:
     return ids.unionByName(rows).unionByName(extra).select([c.split()[0] for c in CELLS.split(", ")])
 
 
-_LOADED: dict[str, Dataset] = {}
-
-
 def _shop(s: SparkSession, d: str) -> Dataset:
-    """Loaded once for each session and folder."""
-    key = f"{s.sparkContext.applicationId} {d}"
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = ingest(shop_cells(s, d), shop_schema())
-    data = _LOADED[key]
-    return Dataset(s, data.schema, dict(data.tables), dict(data.infra))
+    return ingest(shop_cells(s, d), shop_schema())
 
 
 def propagate_full(s: SparkSession, d: str) -> DataFrame:
@@ -161,7 +152,8 @@ def validate_states(s: SparkSession, d: str) -> DataFrame:
 
 def fidelity_self(s: SparkSession, d: str) -> DataFrame:
     """A dataset and one that lacks some orders."""
-    a, b = _shop(s, d), _shop(s, d)
+    a = _shop(s, d)
+    b = Dataset(s, a.schema, dict(a.tables), dict(a.infra))
     b.tables["order"] = b.tables["order"].where("priority <> '1-URGENT'")
     out = compare_fallback(a, b)
     for f in compare_tables(a, b):

@@ -41,6 +41,13 @@ def test_query_equals_its_sql(spark, duck, name):
     assert plain(want) == plain(got)
 
 
+def test_changed_tables_are_loaded_again(spark, tmp_path):
+    orders = [(1, 1, "2-HIGH"), (1, 2, "2-HIGH")]
+    for n in (1, 2):
+        spark.createDataFrame(orders[:n], "o_custkey long, o_orderkey long, o_orderpriority string").write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+        assert text_queries.propagate_full(spark, str(tmp_path)).count() == n
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLE) == set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -129,3 +129,28 @@ def test_interactions_are_learned(spark):
     assert toxicity_fm.score(docs.select("doc_id", "text").limit(0), model).count() == 0
     silent = toxicity_fm.fit(docs, marks.limit(0))
     assert {r["score"] < 1e-9 for r in toxicity_fm.score(docs.select("doc_id", "text"), silent).collect()} == {True}
+
+
+def test_terms_that_only_tell_together_are_learned(spark):
+    """Toxic is one of two words without the other: neither tells anything alone. And several labels a document."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(3000):
+        w = [f"n{rng.randrange(2000)}" for _ in range(rng.randrange(5, 60))]
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        w += [rng.choice(["scumbagger", "rotter"])] * insult + [rng.choice(["martians", "venusians"])] * group
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels += [(i, int(insult != group)), (i, 0)]
+    model = toxicity_fm.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity_fm.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert np.mean([got[i] == y for i, y in labels[::2] if held_out(i)]) > 0.95
+
+
+def test_short_texts_of_two_languages(spark):
+    """Labelled texts of five words only."""
+    rng = random.Random(7)
+    rows = [(i, words(rng, lang, 5), lang) for i, lang in enumerate(["aa", "bb"] * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_crf.identify(docs, lang_crf.fit(docs)).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows if held_out(i)]) > 0.95

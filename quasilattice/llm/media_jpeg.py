@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, written
 
 #: Zigzag order, from its rule: diagonals of falling and rising direction by turns.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -557,12 +557,12 @@ def store_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-TENSORS = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, height int, width int, rgb binary"
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+TENSORS = "doc_id long, n_bytes long, payload binary, media binary, height int, width int, rgb binary, means string"
 
 
 def read_tensors(media: DataFrame) -> DataFrame:
-    """The stored pictures read back: TENSORS, with `rgb` as height x width x 3 bytes."""
+    """The stored pictures read back: TENSORS, with `rgb` as height x width x 3 bytes and the mean of each colour in
+    thousandths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -570,37 +570,24 @@ def read_tensors(media: DataFrame) -> DataFrame:
                 rows = []
                 for doc, n, data in zip(*(batch.slice(lo, 100).column(i).to_pylist() for i in range(3)), strict=True):
                     picture = decode_coefficients(data)
-                    rows.append((doc, n, stored_payload(picture), len(data), hashlib.sha256(data).hexdigest(), picture.height, picture.width, to_rgb(picture).tobytes()))
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "payload", "media_bytes", "media_sha256", "height", "width", "rgb"])
+                    rgb = to_rgb(picture)
+                    means = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64) * 1000 // (picture.height * picture.width)
+                    rows.append((doc, n, stored_payload(picture), data, picture.height, picture.width, rgb.tobytes(), ";".join(map(str, means.tolist()))))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in TENSORS.split(", ")])
 
     return media.mapInArrow(run, TENSORS)
 
 
-def feature(rgb: np.ndarray) -> str:
-    """Size, mean colour and checksum of a tensor."""
-    h, w = rgb.shape[:2]
-    means = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
-    return f"{w}x{h};" + ";".join(f"{int(m) * 1000 // (h * w)}" for m in means) + f";{zlib.crc32(rgb.tobytes()):08x}"
-
-
-def digest_media(media: DataFrame) -> DataFrame:
-    """Like read_tensors(), but tensors and payloads are digested where they are decoded: DIGESTS."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                stored = data.as_py()
-                picture = decode_coefficients(stored)
-                payload = stored_payload(picture)
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(to_rgb(picture))))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
-
-    return media.mapInArrow(run, DIGESTS)
+def digests(tensors: DataFrame) -> DataFrame:
+    """Digests of TENSORS; feature: width x height, mean colour and checksum of the tensor."""
+    checksum = F.lower(F.lpad(F.hex(F.crc32("rgb")), 8, "0"))
+    feature = F.concat_ws(";", F.concat_ws("x", "width", "height"), "means", checksum)
+    size = F.octet_length("payload")
+    return tensors.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("payload"), size - 63, F.lit(64))).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_media(store_media(read_table(spark, sf_dir, "documents")))
+    """The pictures are a table in the shared folder; what is returned comes of that table, read again."""
+    media = written(store_media(read_table(spark, sf_dir, "documents")), "media")
+    return digests(read_tensors(media))

@@ -11,7 +11,8 @@ u32 start of its exceptions; per exception u16 position in the block, u32 value
 Files are rows of a Parquet table (shard keys, `file` binary) in the shared folder, so any store that Spark writes to will do.
 
 Defined cases: a null or empty text gives the end id alone; a null doc_id sorts first; rows that repeat a doc_id are
-written one after the other, by text; an empty table gives no files and no rows; other columns are ignored.
+written one after the other, by a hash of the text, then by text; texts are encoded whole, whatever their length; an empty
+table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -286,7 +287,9 @@ FILES = "part long, seq long, first_doc long, last_doc long, n_ids long, file bi
 def encode_files(docs: DataFrame, tokenizer: str, shard_ids: int = 1 << 20, end_id: int = 0, percentile: float = 98.0, ordinary: bool = True) -> DataFrame:
     """Shard files of docs(doc_id, text), in ascending doc_id order: a range shuffle of the texts, then all in one pass."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # A hash of the text goes with the id, so that rows that share an id, or have none, are dealt out too.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -346,9 +349,13 @@ def read_documents(files: DataFrame) -> DataFrame:
                 })
 
     docs = files.select("part", "seq", "file").mapInArrow(decode, "part long, seq long, doc_id long, local long, n_tokens long, ids_crc32 long, bits_per_token double")
-    # One row a file: small. Files of one doc_id come from one range partition, so part and seq order them.
-    order = Window.orderBy(F.col("first_doc").asc_nulls_first(), F.col("last_doc").asc_nulls_first(), "part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "seq", "first_doc", "last_doc", "n_ids").select("part", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
+    # Parts are ranges in ascending order: one row for each of them is summed up, then the files of each part by themselves.
+    sizes = files.select("part", "seq", "n_ids")
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(parts, F.col("part") == F.col("p"))
+    starts = starts.select("part", "seq", (F.col("above") + F.col("inside")).alias("before"))
     return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", F.round("bits_per_token", 3).alias("bits_per_token"))
 
 

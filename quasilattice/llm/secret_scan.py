@@ -9,7 +9,7 @@ A rule's matches are the leftmost non-overlapping ones of its pattern; one is ke
 matches: the lengths of pieces and matches, summed in order.
 
 Defined cases: a null content is the empty one; paths may repeat; a null path is kept; an empty table gives empty
-results; extra columns are ignored. Memory: one blob a row; sums run over one blob's matches of one rule.
+results; extra columns are ignored, whatever their names. Memory: one blob a row, of any length; sums run over one blob's matches of one rule.
 """
 
 from __future__ import annotations
@@ -100,10 +100,13 @@ class Scan:
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> Scan:
-    """Scan versions(path, content): only what ledger lacks. The results are written tables in the shared folder."""
-    todo = unseen(distinct_blobs(versions), ledger, rules)
-    found = written(matches(todo, rules), "secret-findings")
-    fresh = todo.select("blob", F.explode("todo").alias("pair")).select("blob", F.substring_index("pair", ":", 1).alias("rule"), F.substring_index("pair", ":", -1).cast("int").alias("version"))
+    """Scan versions(path, content): only what ledger lacks. Findings and scanned pairs are written tables in the shared
+    folder, so a later scan that is given them reads no earlier input."""
+    found = written(matches(unseen(distinct_blobs(versions), ledger, rules), rules), "secret-findings")
+    blobs = versions.select(blob_of(F.col("content")).alias("blob")).distinct()
+    pair = F.explode("todo").alias("pair")
+    fresh = unseen(blobs, ledger, rules).select("blob", pair).select("blob", F.substring_index("pair", ":", 1).alias("rule"), F.substring_index("pair", ":", -1).cast("int").alias("version"))
+    fresh = written(fresh, "secret-ledger")
     return Scan(fresh if ledger is None else ledger.select("blob", "rule", "version").unionByName(fresh), found if findings is None else findings.select(found.columns).unionByName(found), fresh)
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hash, mix, prefix_sums, ragged, read_table, span_hash, split_words, written
+from .common import chunks, gram_hash, mix, prefix_sums, ragged, read_table, span_hash, split_words, unused, written
 from .components import components
 
 SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
@@ -364,10 +364,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each near-duplicate class: the smallest doc_id; of equal rows with that id, one."""
-    fate = near_duplicates(docs, **options).where("leads").select(F.col("doc_id").alias("_lead"), F.col("rec").alias("_rec")).distinct()
+    lead, own = unused("lead", docs.columns), unused("rec", docs.columns)
+    fate = near_duplicates(docs, **options).where("leads").select(F.col("doc_id").alias(lead), F.col("rec").alias(own)).distinct()
     rec = F.xxhash64(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
-    kept = docs.join(fate, docs["doc_id"].cast("long").eqNullSafe(F.col("_lead")) & (rec == F.col("_rec")))
-    return kept.dropDuplicates(["_rec"]).select(*docs.columns)
+    kept = docs.join(fate, docs["doc_id"].cast("long").eqNullSafe(F.col(lead)) & (rec == F.col(own)))
+    return kept.dropDuplicates([own]).select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

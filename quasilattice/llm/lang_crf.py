@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, hash_sample, mix, prefix_sums, ragged, read_table, span_hash, split_words, texts_of
+from .common import chunks, hash_sample, mix, prefix_sums, ragged, read_table, span_hash, split_words, texts_of, unused
 
 TABLE = 1 << 18
 BLOCK = 32
@@ -233,7 +233,8 @@ def identify(docs: DataFrame, model: Model, outputs: tuple[str, str] = ("lang_pr
     spark, docs = docs.sparkSession, docs.drop(*outputs)
     sent = spark.sparkContext.broadcast(model)
     names = docs.columns
-    ready = docs.select(*(F.col(c) for c in names), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_has_letter"))
+    letter = unused("has_letter", names)
+    ready = docs.select(*(F.col(c) for c in names), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -253,7 +254,7 @@ def identify(docs: DataFrame, model: Model, outputs: tuple[str, str] = ("lang_pr
             score = np.where(ok, np.clip(share.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(pred, pa.string()), pa.array(score)], names=[*names, *outputs])
 
-    schema = ready.drop("_has_letter").schema.add(outputs[0], "string").add(outputs[1], "double")
+    schema = ready.drop(letter).schema.add(outputs[0], "string").add(outputs[1], "double")
     return ready.mapInArrow(label, schema)
 
 

@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quasilattice.llm import decontaminate, mixing, pfor
+from quasilattice.llm import decontaminate, pfor
 from tests.llm.test_dedup import brute_join
 from tests.llm.test_models import words
+from tests.llm.test_simple import expected_passes
 
 
 @pytest.fixture(scope="module")
@@ -55,10 +56,7 @@ def test_stages(spark, folder):
     shares = {}
     for _, t, s in clean:
         shares[s] = shares.get(s, 0) + len(t.split())
-    total = sum(shares.values())
-    names = sorted(shares)
-    times = mixing.passes([shares[n] / total for n in names], mixing.solve_alpha([shares[n] / total for n in names], 2.0))
-    for n, x in zip(names, times, strict=True):
+    for n, x in expected_passes(shares, 2.0).items():
         assert sum(len(t.split()) for _, t, s in mixed if s == n) == pytest.approx(x * shares[n], abs=90)
 
 

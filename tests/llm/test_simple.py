@@ -1,6 +1,7 @@
 """Secret scan, media columns, chat collapse, token files, mixing: against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -8,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quasilattice.llm import chat_collapse, media_jpeg, mixing, pfor, secret_scan
+from quasilattice.llm import chat_collapse, media_jpeg, mixing, pfor, queries, secret_scan
+from quasilattice.llm.common import written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "\n\t", "a", "x" * 70000, "é ß 𝄞 " * 50, "a b  c\n\n d\t", "don't <|endoftext|> it's"]
@@ -48,7 +50,7 @@ def test_secrets_equal_a_plain_scan(spark):
         assert got == spans((SECRETS + SECRETS[-3:])[r["path"]])
 
 
-def test_only_unseen_pairs_are_scanned(spark):
+def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     mk = lambda rows: spark.createDataFrame(rows, "path string, content string")
     first = secret_scan.scan(mk([("a", "token=abcdefghijkl"), ("b", "none"), ("c", "none")]))
     assert first.fresh.count() == 2 * len(secret_scan.RULES)
@@ -57,6 +59,11 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert second.fresh.select("blob").distinct().count() == 2  # d's text and the empty one
     found = {r["path"]: len(r["found"] or []) for r in secret_scan.by_path(again, second.findings).collect()}
     assert found == {"a": 1, "d": 1, None: 0}
+    texts = mk([("e", "x")]).withColumn("n", F.lit(1))
+    texts.write.mode("overwrite").parquet(f"{tmp_path}/one")
+    one = secret_scan.scan(spark.read.parquet(f"{tmp_path}/one"))
+    two = secret_scan.scan(mk([("f", "y")]), one.ledger, one.findings)
+    assert not [f for df in (two.ledger, two.findings, two.fresh) for f in df.inputFiles() if f"{tmp_path}/one" in f]  # no earlier input is read
     newer = tuple(secret_scan.Rule(r.kind, r.version + (r.kind == "hex"), r.pattern, r.hint, r.size_group, r.least, r.rank) for r in secret_scan.RULES)
     third = secret_scan.scan(again, second.ledger, second.findings, newer)
     assert {r["rule"] for r in third.fresh.select("rule").distinct().collect()} == {"hex"} and third.fresh.count() == 3
@@ -73,15 +80,56 @@ def payload(text):
 
 def test_payloads_read_back(spark):
     docs = frame(spark, ODD + ODD, media="clash")
-    rows = media_jpeg.digest_media(media_jpeg.store_media(docs)).collect()
+    read = lambda df: media_jpeg.digests(media_jpeg.read_tensors(written(media_jpeg.store_media(df), "media-test")))
+    rows = read(docs).collect()
     assert len(rows) == 2 * len(ODD)
+    stored = {r["doc_id"]: r["media"] for r in media_jpeg.store_media(docs).collect()}
     for r in rows:
-        p = payload((ODD + ODD)[r["doc_id"]])
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(((ODD + ODD)[r["doc_id"]] or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        assert r["feature"] == rows[r["doc_id"] % len(ODD)]["feature"] and r["media_bytes"] > r["payload_bytes"]
-    assert media_jpeg.digest_media(media_jpeg.store_media(docs.limit(0))).count() == 0
-    tensor = media_jpeg.read_tensors(media_jpeg.store_media(docs.where("doc_id = 4"))).first()
-    assert len(tensor["rgb"]) == tensor["height"] * tensor["width"] * 3
+        text = (ODD + ODD)[r["doc_id"]]
+        p, media = payload(text), stored[r["doc_id"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len((text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r["feature"] == {x["doc_id"]: x for x in rows}[r["doc_id"] % len(ODD)]["feature"]
+        if len(p) < 2000:
+            picture = media_jpeg.decode_coefficients(media)
+            exact, rgb = naive_rgb(picture), media_jpeg.to_rgb(picture)
+            h, w = exact.shape[:2]
+            means = ";".join(str(int(rgb[:, :, i].astype(int).sum()) * 1000 // (h * w)) for i in range(3))
+            assert np.abs(exact.astype(int) - rgb).max() <= 3 and r["feature"] == f"{w}x{h};{means};{zlib.crc32(rgb.tobytes()):08x}"
+    assert read(docs.limit(0)).count() == 0
+
+
+def naive_rgb(picture):
+    """By the formulas of the format, a pixel at a time: the inverse transform, the nearest chroma sample, the colours."""
+    zigzag = media_jpeg.ZIGZAG
+    c = [[(math.sqrt(0.125) if u == 0 else 0.5) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)]
+    planes = []
+    for part in picture.parts:
+        blocks, quant = part.coef, picture.quants[part.quant]
+        planes.append([])
+        for block in blocks:
+            f = [[0.0] * 8 for _ in range(8)]
+            for z, at in enumerate(zigzag):
+                f[at // 8][at % 8] = float(block[z]) * float(quant[z])
+            half = [[sum(f[u][v] * c[u][x] for u in range(8)) for v in range(8)] for x in range(8)]
+            planes[-1].append([[min(255, max(0, math.floor(128.5 + sum(half[x][v] * c[v][y] for v in range(8))))) for y in range(8)] for x in range(8)])
+    top = max(p.v for p in picture.parts)
+    out = np.zeros((picture.height, picture.width, 3), dtype=np.uint8)
+    for i in range(picture.height):
+        for j in range(picture.width):
+            y, cb, cr = (planes[k][(i * p.v // top // 8) * p.cols + j * p.h // top // 8][i * p.v // top % 8][j * p.h // top % 8] for k, p in enumerate(picture.parts))
+            for k, x in enumerate((y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128))):
+                out[i, j, k] = min(255, max(0, math.floor(x + 0.5)))
+    return out
+
+
+def test_tensors_equal_the_formulas():
+    rng = np.random.default_rng(4)
+    for h, w, quant in ((16, 16, 1), (21, 37, 3), (8, 40, 12)):
+        image = rng.integers(0, 256, (h, w, 3)).astype(np.uint8)
+        picture = media_jpeg.decode_coefficients(media_jpeg.encode_image(image, quant)[0])
+        off = np.abs(media_jpeg.to_rgb(picture).astype(int) - naive_rgb(picture))
+        assert off.max() <= 3 and off.mean() < 0.05  # a sample near a half may fall either way with a basis of whole numbers
 
 
 def test_whole_array_decoding_equals_symbol_by_symbol(monkeypatch):
@@ -146,10 +194,9 @@ def test_token_files_equal_the_library(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(pfor.tokenizer_path())
-    tok.encode_special_tokens = True
     texts = [*ODD, "the same words the same words", "  lead and trail  ", "line\nline\n\nline"]
     docs = frame(spark, texts, start="clash").unionByName(frame(spark, ["again"], start="clash").withColumn("doc_id", F.lit(None).cast("long")))
-    got = pfor.token_output(spark, docs).orderBy("start").collect()
+    got = pfor.token_output(spark, docs, ordinary=False).orderBy("start").collect()
     start = 0
     for r, (doc, text) in zip(got, [(None, "again"), *enumerate(texts)], strict=True):
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, 0]
@@ -170,6 +217,15 @@ def test_token_query_encodes_by_the_library_default(spark, tmp_path):
     assert [x.count(50256) for x in ids] == [1, 1, 2, 0, 0]
 
 
+def test_rows_that_share_an_id(spark):
+    """Null and repeated ids, more rows than a part: every row once, in ascending order, with running starts."""
+    docs = spark.createDataFrame([(None if i % 3 else i // 30, f"text {i % 50}", f"s{i}") for i in range(600)], "doc_id long, text string, part string").repartition(5)
+    got = sorted(((r["start"], r["doc_id"], r["n_tokens"]) for r in pfor.token_output(spark, docs, ordinary=False).collect()), key=lambda r: r[0])
+    assert len(got) == 600 and [r[0] for r in got] == np.cumsum([0] + [r[2] for r in got])[:-1].tolist()
+    ids = [(-1 if d is None else d) for _, d, _ in got]
+    assert ids == sorted(ids) and ids.count(-1) == 400
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 127, 128, 129, 5000):
@@ -183,46 +239,125 @@ def test_blocks_round_trip():
 # ---- mixing
 
 
-def test_exponent_meets_its_targets():
-    shares = [0.6, 0.3, 0.1]
-    alpha = mixing.solve_alpha(shares, repetition_limit=2.0)
-    assert max(mixing.passes(shares, alpha)) == pytest.approx(2.0, abs=1e-9)
-    alpha = mixing.solve_alpha(shares, target_entropy=1.0)
-    assert mixing.entropy(mixing.tempered(shares, alpha)) == pytest.approx(1.0, abs=1e-9)
-    assert mixing.solve_alpha(shares, repetition_limit=100.0) == 0.0 and mixing.solve_alpha(shares) == 1.0 and mixing.solve_alpha([], 2.0) == 0.0
+def exponent(shares, limit):
+    """The closed form: the largest number of passes is (largest share / smallest share)**(1 - alpha)."""
+    known = [p for p in shares if p > 0]
+    return max(0.0, 1 - math.log(limit) / math.log(max(known) / min(known))) if max(known) > min(known) else 0.0
+
+
+def expected_passes(tokens, limit):
+    """How often each source is emitted: weights p**alpha over p, the least one being 1. Sources without tokens: once."""
+    whole = sum(tokens.values())
+    shares = {s: n / whole for s, n in tokens.items()}
+    alpha = exponent(list(shares.values()), limit)
+    ratio = {s: p ** (alpha - 1) for s, p in shares.items() if p > 0}
+    return {s: ratio[s] / min(ratio.values()) if s in ratio else 1.0 for s in tokens}
 
 
-def brute_budget(rows, limit):
-    tokens = {}
+def test_exponent_meets_its_targets(spark):
+    totals = spark.createDataFrame([("a", 600, 6), ("b", 300, 3), (None, 100, 1), ("z", 0, 2)], "source string, tokens long, docs long")
+    shares = [0.6, 0.3, 0.1]
+    for limit in (1.0, 1.5, 2.0, 5.9):
+        assert mixing.solve_alpha(totals, repetition_limit=limit) == pytest.approx(exponent(shares, limit), abs=1e-9)
+    assert mixing.solve_alpha(totals, repetition_limit=100.0) == 0.0 and mixing.solve_alpha(totals) == 1.0 and mixing.solve_alpha(totals.limit(0), 2.0) == 1.0
+    alpha = mixing.solve_alpha(totals, target_entropy=1.0)
+    w = np.array(shares) ** alpha
+    w /= w.sum()
+    assert -(w * np.log(w)).sum() == pytest.approx(1.0, abs=1e-9)
+    both = mixing.solve_alpha(totals, repetition_limit=1.2, target_entropy=1.09)
+    assert both == pytest.approx(exponent(shares, 1.2), abs=1e-9)
+    got = {r["source"]: r for r in mixing.budgets(totals, alpha, 500).collect()}
+    for s, share, weight, tokens in zip(["a", "b", None], shares, w, (600, 300, 100), strict=True):
+        r = got[s]
+        assert r["weight"] == pytest.approx(weight, abs=1e-9) and r["full_passes"] * tokens + r["part_tokens"] == pytest.approx(500 * weight, abs=1)
+    assert got["z"]["full_passes"] == 1 and got["z"]["weight"] == 0
+
+
+MIX = [(i, ["big", "mid", "small", None][min(3, int(x))], " ".join(["w"] * int(n)) if i % 17 else None) for i, (x, n) in enumerate(zip(np.random.default_rng(2).exponential(1.0, 800), np.random.default_rng(3).integers(0, 30, 800), strict=True))]
+
+
+def source_tokens(rows):
+    out = {}
     for _, source, text in rows:
-        tokens[source] = tokens.get(source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
-    names = sorted(tokens, key=lambda s: (s is not None, s or ""))
-    total = sum(tokens.values())
-    shares = [tokens[n] / total for n in names]
-    return dict(zip(names, mixing.passes(shares, mixing.solve_alpha(shares, limit)), strict=True)), tokens
+        out[source] = out.get(source, 0) + len((text or "").split())
+    return out
 
 
-def test_budgets_are_realised(spark):
-    rng = np.random.default_rng(2)
-    rows = [(i, ["big", "mid", "small", None][min(3, int(rng.exponential(1.0)))], " ".join(["w"] * int(rng.integers(0, 30))) if i % 17 else None) for i in range(800)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("block", F.lit(7))
+@pytest.mark.parametrize("many", [False, True])
+def test_budgets_are_realised(spark, monkeypatch, many):
+    if many:  # more sources than may be broadcast
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    df = spark.createDataFrame(MIX, "doc_id long, source string, text string").withColumn("block", F.lit(7)).withColumn("mix_id", F.lit(8))
     got = mixing.plan(df, repetition_limit=3.0, block_docs=16).collect()
-    assert len(got) == len(rows) and min(r["copies"] for r in got) >= 1
-    times, tokens = brute_budget(rows, 3.0)
+    assert len(got) == len(MIX) and min(r["copies"] for r in got) >= 1
+    tokens = source_tokens(MIX)
+    times = expected_passes(tokens, 3.0)
     for source in tokens:
         emitted = sum(r["copies"] * r["n_tokens"] for r in got if r["source"] == source)
         want = times[source] * tokens[source]
-        assert want - 31 <= emitted <= want + 1e-6
+        assert want - 31 <= emitted <= want + 1e-3
         part = sorted({(r["block_rank"], r["copies"]) for r in got if r["source"] == source and r["n_tokens"]})
-        ranks = [b for b, c in part if c == int(times[source])]
-        full = [b for b, c in part if c > int(times[source])]
+        ranks = [b for b, c in part if c == int(times[source] + 1e-9)]
+        full = [b for b, c in part if c > int(times[source] + 1e-9)]
         assert not full or not ranks or min(ranks) >= max(full)  # blocks in permuted order, one of them cut
     mixed = mixing.mix(df, repetition_limit=3.0, block_docs=16)
     assert mixed.columns == df.columns and mixed.count() == sum(r["copies"] for r in got)
     assert mixing.plan(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
 
 
+def test_a_budget_takes_more_of_some_and_less_of_others(spark):
+    """Repeated rows count one by one; a budget below a source's tokens leaves documents out."""
+    rows = MIX + MIX[:40]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    tokens, budget = source_tokens(rows), 4000
+    whole = sum(tokens.values())
+    alpha = exponent([n / whole for n in tokens.values()], 2.0)
+    z = sum((n / whole) ** alpha for n in tokens.values() if n)
+    got = mixing.plan(df, budget=budget, block_docs=16).collect()
+    assert len(got) == len(rows)
+    for source, n in tokens.items():
+        want = budget * (n / whole) ** alpha / z
+        emitted = sum(r["copies"] * r["n_tokens"] for r in got if r["source"] == source)
+        assert want - 61 <= emitted <= want + 1e-3
+    assert {r["copies"] for r in got if r["source"] == "big"} == {0, 1}
+    mixed = mixing.mix(df, budget=budget, block_docs=16)
+    assert 0 < mixed.where("source = 'big'").count() < sum(r[1] == "big" for r in rows)
+
+
 def test_plans_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(i, f"s{i % 3 and 1}", "w " * (i % 9)) for i in range(300)], "doc_id long, source string, text string")
     one, many = (sorted(map(tuple, mixing.plan(df.repartition(n), block_docs=32).collect())) for n in (1, 7))
     assert one == many
+
+
+# ---- the registered queries
+
+
+COLUMNS = {
+    "op1_secret_scan": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op2_media_columns": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op3_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op6_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op7_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op10_token_output": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_registered_queries_give_their_columns(spark, tmp_path, name):
+    """On whole small tables with odd rows, and on empty ones."""
+    docs = frame(spark, [*ODD, "word " * 60, "word " * 60])
+    tables = {"documents": docs, "labels": spark.createDataFrame([(i, 1, i % 2) for i in range(8)] + [(0, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int"),
+              "benchmark": spark.createDataFrame([(1, "word " * 20), (2, None)], "item_id long, text string"),
+              "conversations": spark.createDataFrame([(1, 0, "user", "hi"), (None, 0, None, None)], "conv_id long, turn long, role string, text string")}
+    for t, df in tables.items():
+        df.write.parquet(f"{tmp_path}/all/{t}.parquet")
+        df.limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
+    out = queries.queries()[name](spark, f"{tmp_path}/all")
+    kinds = dict(out.dtypes)
+    for column in COLUMNS.get(name, "").split(", ") if name in COLUMNS else []:
+        c, kind = column.split()
+        assert kinds[c] == kind
+    n = out.count()
+    assert n == docs.count() or name in ("op4_chat_collapse", "op9_decontaminate")
+    assert queries.queries()[name](spark, f"{tmp_path}/none").count() == 0

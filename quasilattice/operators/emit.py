@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quoting import LINE_LIMIT, make_text_field, quote
 from ..functions.values import merge_su
-from ..plans.output import BlockSpec, EmitMode, OutputPlan
+from ..plans.output import BlockSpec, EmitMode, OutputPlan, accepted
 from ..plans.schema import BLOCK, Schema, Table, topological
 from ..sources.types import V1, V2
 from . import relational as R
@@ -81,9 +81,10 @@ def _table_rows(data: Dataset) -> list[DataFrame]:
 
 
 def _fallback_rows(data: Dataset) -> DataFrame:
-    f = data.infra["fallback"]
-    ord_ = F.format_string("%010d.%010d.%010d", F.coalesce("loop_id", F.lit(-1)) + 1, F.coalesce("col_index", F.lit(0)), F.col("row_id"))
-    row = F.to_json(F.struct("tag", "value", "value_type", "row_id", "col_index", "ref_table"))
+    """The values of unknown tags, each with its block's number: loops and rows are numbered within blocks."""
+    f = data.infra["fallback"].join(data.infra["block_order"].select("block_id", F.col("position").alias("block")), "block_id", "left")
+    ord_ = F.format_string("%010d.%010d.%010d.%010d", "block", F.coalesce("loop_id", F.lit(-1)) + 1, F.coalesce("col_index", F.lit(0)), F.col("row_id"))
+    row = F.to_json(F.struct("tag", "value", "value_type", "row_id", "col_index", "ref_table", "block"))
     return f.select(F.col("block_id").alias(BLOCK), F.lit("").alias("table_name"), ord_.alias("ord"), "loop_id", row.alias("row"))
 
 
@@ -193,20 +194,18 @@ def planned(rows: DataFrame, schema: Schema, plan: OutputPlan) -> DataFrame:
     """rows with `spec`, the index of the first spec that accepts their block (null: none). Blocks of a single_block spec get
     one key; those of an attach_to spec get the key of the first other block that the predicate accepts, by spec and key.
     One row a block is matched; only whether a target exists comes to the driver."""
-    keyed = {t for t, x in schema.tables.items() if x.category_class == "Set" and x.keys}
-
-    def accepts(test) -> F.Column:
-        """A Python predicate on the tables of a block: one call a block, in Arrow batches."""
-        return F.udf(lambda tables: test(frozenset(tables) & keyed, frozenset(tables)), "int", useArrow=True)("tables")
-
-    meta = rows.where("table_name <> ''").groupBy("key").agg(F.collect_set("table_name").alias("tables")).withColumn("spec", accepts(plan.match))
+    keyed = F.array(*(F.lit(t) for t, x in schema.tables.items() if x.category_class == "Set" and x.keys)).cast("array<string>")
+    tables, anchors = F.col("tables"), F.array_intersect("tables", keyed)
+    chosen = F.lit(None).cast("int")
+    for i, s in reversed(list(enumerate(plan.specs))):
+        chosen = F.when(accepted(s.matches, anchors, tables), F.lit(i)).otherwise(chosen)
+    meta = rows.where("table_name <> ''").groupBy("key").agg(F.collect_set("table_name").alias("tables")).withColumn("spec", chosen)
     single = [i for i, s in enumerate(plan.specs) if s.single_block]
     attached = [i for i, s in enumerate(plan.specs) if s.attach_to is not None]
     meta = meta.withColumn("to", F.when(F.col("spec").isin(*single), F.concat(F.lit("spec:"), F.col("spec").cast("string"))).otherwise(F.col("key"))) if single else meta.withColumn("to", F.col("key"))
     for i in attached:
-        test = BlockSpec(plan.specs[i].attach_to)
         others = meta.where(~F.coalesce(F.col("spec").isin(*attached), F.lit(False)))
-        found = others.where(accepts(lambda a, t, test=test: int(test.accepts(a, t))) == 1).orderBy(F.col("spec").asc_nulls_last(), "to").select("to", "spec").first()
+        found = others.where(accepted(plan.specs[i].attach_to, anchors, tables)).orderBy(F.col("spec").asc_nulls_last(), "to").select("to", "spec").first()
         if found is None:
             if not meta.where(F.col("spec") == i).isEmpty():
                 warnings.warn(f"no block for what spec {i} attaches; it stands alone", UserWarning, stacklevel=3)
@@ -249,7 +248,7 @@ class _Renderer:
             keep, at = row.pop("_only", None), row.pop(ITER, None)
             if keep is not None:
                 row = {c: v for c, v in row.items() if c in keep or c in self.schema.tables[table].keys}
-            row["_at"] = (loop, at)
+            row["_at"] = (int(ord_[:10]) if ord_[:10].isdigit() else None, loop, at)
             tables[table].append((ord_, loop, row))
         for x in tables.values():
             x.sort(key=lambda r: r[0])
@@ -265,13 +264,9 @@ class _Renderer:
         loose = self._beside(tables, loose)
         for group in self._order(tables, spec):
             lines += self._group([t for t in group if t in tables], tables, anchors, spec)
-        # A block can't have a tag twice: values of unrouted loops whose tags are taken go to a block of their own.
-        taken = {loop for _, loop, row in loose if loop is not None and row["tag"] in self.written}
-        apart = [r for r in loose if r[1] in taken and r[1] is not None or r[1] is None and r[2]["tag"] in self.written]
-        lines += self._fallback([r for r in loose if not any(r is x for x in apart)])
-        name = self._name(key, anchors, spec)
-        if apart:
-            lines += ["", f"data_{name}_rest", *self._fallback(apart)]
+        name = self._name(key, {t: [r for _, _, r in x] for t, x in tables.items() if t in anchors}, spec)
+        for i, part in enumerate(self._fallback(loose)):
+            lines += part if not i else ["", f"data_{name}_rest" + (f"_{i}" if i > 1 else ""), *part]
         return found if found is not None else len(self.plan.specs), name, "\n".join(lines) + "\n" if lines else ""
 
     def _conformance(self, tables: dict, loose: list) -> list[str]:
@@ -288,19 +283,22 @@ class _Renderer:
         """Unrouted cells of a loop go beside the routed ones, as columns of the same loop row, where the block has all
         those rows. Returns the others."""
         self.extra: dict[str, dict[tuple[int, str], dict[tuple, dict]]] = defaultdict(lambda: defaultdict(dict))
-        wanted: dict[tuple[str, int], list] = defaultdict(list)
+        wanted: dict[tuple[str, int, int], list] = defaultdict(list)
         for x in loose:
             _, loop, row = x
             if loop is not None and row.get("ref_table") in tables:
-                wanted[row["ref_table"], loop].append(x)
+                wanted[row["ref_table"], row.get("block"), loop].append(x)
         gone: set[int] = set()
-        for (table, loop), cells in wanted.items():
+        for (table, block, loop), cells in wanted.items():
             places = {r["_at"] for _, _, r in tables[table]}
             taken = {tag for t, tag in ((t, self.schema.column_to_tag.get((t, c))) for t in tables for c in self.schema.tables[t].data)}
-            if all((loop, int(r["row_id"])) in places and r["tag"] not in taken for _, _, r in cells):
+            if all((block, loop, int(r["row_id"])) in places and r["tag"] not in taken for _, _, r in cells):
                 for x in cells:
-                    self.extra[table][int(x[2].get("col_index") or 0), x[2]["tag"]][loop, int(x[2]["row_id"])] = x[2]
+                    self.extra[table][int(x[2].get("col_index") or 0), x[2]["tag"]][block, loop, int(x[2]["row_id"])] = x[2]
                     gone.add(id(x))
+            for _, _, r in cells:  # a tag that stands beside a table in part stands nowhere else in this block
+                if any(t == r["tag"] for _, t in self.extra[table]):
+                    self.written.add(r["tag"])
         return [x for x in loose if id(x) not in gone]
 
     def _extra_cells(self, table: str, rows: list[dict | None]) -> tuple[list[str], list[list[str]]]:
@@ -309,11 +307,12 @@ class _Renderer:
         cells = [[self._loose(self.extra[table][n][r["_at"]]) if r is not None and r["_at"] in self.extra[table][n] else "." for n in names] for r in rows]
         return [t for _, t in names], cells
 
-    def _name(self, key: str, anchors: dict[str, dict], spec: BlockSpec) -> str:
+    def _name(self, key: str, anchors: dict[str, list[dict]], spec: BlockSpec) -> str:
+        """anchors: the rows of the block's keyed Sets. A name-making function gets all values of their keys."""
         if self.mode is EmitMode.ORIGINAL:
             name = key
         else:
-            values = {f"{t}.{k}": str(row.get(k, "")) for t, row in anchors.items() for k in self.schema.tables[t].keys}
+            values = {f"{t}.{k}": [str(row.get(k, "")) for row in rows] for t, rows in anchors.items() for k in self.schema.tables[t].keys}
             if self.single and not (spec.block_namer or self.plan.block_namer):
                 return sanitize(key) or "block"
             make = spec.block_namer or self.plan.block_namer
@@ -324,7 +323,7 @@ class _Renderer:
             elif self.mode is EmitMode.ALL_BLOCKS:
                 name = key
             else:
-                name = "_".join(f"{k}_{v}" for k, v in sorted(values.items())) or key.removeprefix("#")
+                name = "_".join(f"{k}_{v[0]}" for k, v in sorted(values.items())) or key.removeprefix("#")
             name = sanitize(name)
         if self.version == V1 and len(name) > MAX_NAME_1:
             raise ValueError(f"block name of more than {MAX_NAME_1} characters: {name}")
@@ -456,21 +455,38 @@ class _Renderer:
             cells = [[x.ljust(w) if w else x for x, w in zip(row, widths, strict=True)] for row in zip(*columns, strict=True)]
         return ["loop_", *tags, *(line for row in cells for line in pack_tokens(row, self.limit)), ""]
 
-    def _fallback(self, rows: list[tuple[str, int | None, dict]]) -> list[str]:
-        out, loops = [], defaultdict(lambda: defaultdict(dict))
-        scalars: dict[str, list[dict]] = defaultdict(list)
+    def _fallback(self, rows: list[tuple[str, int | None, dict]]) -> list[list[str]]:
+        """The lines of unknown tags, in parts: a block can't have a tag twice, so what is taken in one part goes to the
+        next. A tag with several values is a loop of one column; loops with the same tags are one loop, block after block."""
+        loops, scalars = defaultdict(lambda: defaultdict(list)), defaultdict(list)
         for _, loop, row in rows:
             if loop is None:
                 scalars[row["tag"]].append(row)
             else:
-                loops[loop][int(row["row_id"])][int(row.get("col_index") or 0), row["tag"]] = row
-        for tag in sorted(scalars):
-            out += self.pairs([tag], [self._loose(scalars[tag][0])])
-        for loop in sorted(loops):
-            tags = sorted({k for row in loops[loop].values() for k in row})
-            cells = [[self._loose(row[t]) if t in row else "?" for t in tags] for _, row in sorted(loops[loop].items())]
-            out += self.loop([t for _, t in tags], cells, [False] * len(tags))
-        return out
+                loops[row.get("block"), loop][int(row["row_id"])].append(row)
+        units: dict[tuple[str, ...], list[list[str]]] = {(tag,): [[self._loose(r)] for r in scalars[tag]] for tag in sorted(scalars)}
+        for place in sorted(loops, key=lambda k: (k[0] or 0, k[1])):
+            body = loops[place]
+            columns = sorted({(int(r.get("col_index") or 0), r["tag"]) for row in body.values() for r in row})
+            cells = []
+            for _, row in sorted(body.items()):
+                have = defaultdict(list)
+                for r in row:
+                    have[int(r.get("col_index") or 0), r["tag"]].append(self._loose(r))
+                for i in range(max(map(len, have.values()))):  # a cell given twice takes a row of its own
+                    cells.append([have[c][i] if i < len(have[c]) else "?" if not i else "." for c in columns])
+            units.setdefault(tuple(t for _, t in columns), []).extend(cells)
+        parts: list[list[str]] = [[]]
+        taken = [set(self.written)]
+        for tags, cells in units.items():
+            i = next((i for i, x in enumerate(taken) if x.isdisjoint(tags)), len(parts))
+            if i == len(parts):
+                parts.append([])
+                taken.append(set())
+            taken[i] |= set(tags)
+            one = len(tags) == 1 and len(cells) == 1 and tags[0] in scalars
+            parts[i] += self.pairs(list(tags), cells[0]) if one else self.loop(list(tags), cells, [False] * len(tags))
+        return parts
 
     def _loose(self, row: dict) -> str:
         return row["value"] if row.get("value_type") == "placeholder" else self._token(row.get("value"))

@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column as Col
@@ -116,6 +117,18 @@ def check_dimension(value: object, shape: list[int | None]) -> str | None:
     return next((m for v in value if (m := check_dimension(v, shape[1:]))), None)
 
 
+def fits(value: str, contents: str) -> bool:
+    """C.contents_ok() of a value inside a container."""
+    if contents in C.CONTENTS and not re.search(C.CONTENTS[contents], value):
+        return False
+    if contents == "DateTime":
+        try:
+            datetime.fromisoformat(value)
+        except ValueError:
+            return False
+    return True
+
+
 def container_problems(stored: str, column: Column, strict_nulls: bool = False) -> list[tuple[str, str, str]]:
     """(check, severity, detail) of a stored container."""
     try:
@@ -139,7 +152,7 @@ def container_problems(stored: str, column: Column, strict_nulls: bool = False)
         leaf = str(leaf)
         if leaf in C.PLACEHOLDERS:
             continue
-        if contents in C.CONTENTS and not re.search(C.CONTENTS[contents], leaf):
+        if not fits(leaf, contents):
             out.append(("type_contents", "Error" if contents in NUMBERS else "Warning", f"{leaf[:40]!r} is not {contents}"))
         elif contents in NUMBERS and column.enumeration_range:
             number = float(re.sub(r"\(\d+\)$", "", leaf))

@@ -13,11 +13,9 @@ Resolver = Callable[[str], "str | None"]
 
 #: Older names of attributes and what they are called now. Fixed values.
 ATTRIBUTE_ALIASES = {
-    "_definition.replaced_by": "_definition_replaced.by",
-    "_category.key_id": "_category_key.name",
-    "_category_key.primitive": "_category_key.name",
-    "_enumeration_set.construct": "_enumeration_set.state",
-    "_definition.xref_code": "_alias.definition_id",
+    "_enumeration.def_index_id": "_enumeration.def_index_ids",
+    "_enumeration_default.index": "_enumeration_defaults.index",
+    "_enumeration_default.value": "_enumeration_defaults.value",
 }
 #: What an imported frame doesn't overwrite: who the importing frame is.
 IDENTITY = {"_definition.id", "_definition.scope", "_definition.class", "_name.category_id", "_name.object_id", "_import.get"}
@@ -123,9 +121,10 @@ def extract_item(frame: Namespace) -> Item | None:
     scope = _one(frame, "_definition.scope") or "Item"
     kind = _one(frame, "_definition.class")
     defaults = []
-    for index, value in zip(frame.get("_enumeration_default.index") or [], frame.get("_enumeration_default.value") or [], strict=False):
-        key = [str(x) for x in index] if isinstance(index, list) else [str(index)]
-        defaults.append([*key, str(value)])
+    for index, value in zip(frame.get("_enumeration_defaults.index") or [], frame.get("_enumeration_defaults.value") or [], strict=False):
+        key = [str(x) for x in (index if isinstance(index, list) else [index]) if str(x) not in (".", "?")]
+        if key:
+            defaults.append([*key, json.dumps(value, separators=(",", ":"), ensure_ascii=False) if isinstance(value, (list, dict)) else str(value)])
     replaced = _many(frame, "_definition_replaced.by")
     one = lambda tag: _one(frame, tag)
     low = lambda x: fold(x) if x else None
@@ -138,7 +137,7 @@ def extract_item(frame: Namespace) -> Item | None:
         description=one("_description.text"), aliases=[fold(a) for a in _many(frame, "_alias.definition_id")],
         enumeration_states=[str(v) for v in frame.get("_enumeration_set.state") or [] if isinstance(v, str)], enumeration_range=one("_enumeration.range"),
         enumeration_default=one("_enumeration.default"),
-        enumeration_def_index_ids=[fold(str(x)) for v in frame.get("_enumeration.def_index_id") or [] for x in (v if isinstance(v, list) else [v])],
+        enumeration_def_index_ids=[fold(str(x)) for v in frame.get("_enumeration.def_index_ids") or [] for x in (v if isinstance(v, list) else [v]) if str(x) not in (".", "?")],
         enumeration_defaults=defaults, is_deprecated="_definition_replaced.id" in frame or "_definition_replaced.by" in frame, replaced_by=[fold(r) for r in replaced],
     )
 

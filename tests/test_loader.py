@@ -14,7 +14,7 @@ from quasilattice.operators.emit import _Renderer, align_decimals, emit, pack_to
 from quasilattice.operators.fidelity import check_fidelity
 from quasilattice.operators.ingest import Dataset, IngestionError, ingest
 from quasilattice.operators.validate import container_problems, parse_dimension, parse_range, validate
-from quasilattice.plans.output import BlockSpec, EmitMode, OutputPlan, all_of, any_of, has, namer, only
+from quasilattice.plans.output import BlockSpec, EmitMode, OutputPlan, accepted, all_of, any_of, has, namer, only
 from quasilattice.plans.schema import BLOCK, ID, ROW, Column, ForeignKey, Schema, Table
 from quasilattice.sources.cells import CifDataSource, build_arrow, cells_frame, cells_of_texts, errors_of_texts, events_of_texts, read_cells
 from quasilattice.sources.clean import clean_cells
@@ -243,6 +243,29 @@ def test_unknown_columns_stay_in_their_loop(spark):
     assert build(one)[0]["output"]["_audit_conform.dict_name"] == ["T"]
 
 
+def fallback_of(text, **more):
+    """The multiset of (tag, value) of all blocks of a text."""
+    from collections import Counter
+
+    cif, errors = build(text)
+    assert not errors, errors
+    return Counter((tag, str(v)) for b in cif.blocks for tag, values in b.values.items() for v in values)
+
+
+@pytest.mark.parametrize("mode", [EmitMode.ORIGINAL, EmitMode.GROUPED, EmitMode.ONE_BLOCK])
+def test_no_unknown_value_is_lost(spark, mode):
+    """Equal tags in several blocks, a tag twice in one block, loops of several blocks with equal, shared and other tags, and
+    unknown tags in a known loop."""
+    one = V2 + "data_a\n_u.s one\nloop_ _u.a _u.b 1 2 3 4\nloop_ _w.x _w.y 1 2\n_u.once 1\nloop_ _atom.label _new.tag A n1 B n2\n"
+    two = "data_b\n_u.s two\nloop_ _u.a _u.b 5 6 7 8\nloop_ _w.y _w.z 3 4\nloop_ _atom.label _new.tag C n3\ndata_c\n_u.s one\n_u.a 9\n"
+    cif, _ = build(one + two)
+    text = emit(ingest(cif, crystal(), spark=spark), mode=mode)
+    got = fallback_of(text)
+    assert got == fallback_of(one + two)
+    twice = ingest(build(V2 + "data_x\n_u.s one\n_u.s two\n_u.t 1\n")[0], spark=spark)
+    assert fallback_of(emit(twice, mode=mode)) == {("_u.s", "one"): 1, ("_u.s", "two"): 1, ("_u.t", "1"): 1}
+
+
 def test_plans_merge_and_attach(spark):
     text = V2 + "data_a\n_structure.id S1\n_cell.a 1\ndata_b\n_structure.id S2\n_cell.a 2\ndata_c\nloop_ _notes.text p q\n"
     data = ingest(build(text)[0], crystal(), spark=spark)
@@ -260,7 +283,28 @@ def test_matchers_and_names():
     assert only("cell")(a, t) and not only("cell", "x")(a, t) and any_of("x", "cell")(a, t) and has("atom")(a, t) and not has("atom").excluding("cell")(a, t)
     assert (all_of("x") | has("atom"))(a, t) and not (all_of("x") & has("atom"))(a, t)
     assert OutputPlan([BlockSpec("x"), BlockSpec({"cell"}), BlockSpec()]).match(a, t) == 1
-    assert namer(fallback="f")({}) == "f" and namer(sep="-", suffix="!")({"b": "2", "a": "1"}) == "1-2!"
+    assert BlockSpec({"cell"}).accepts({"cell", "x"}, t) and not BlockSpec({"cell", "y"}).accepts({"cell", "x"}, t)  # all of them, not only them
+    assert namer("x.id", "y.id")({"x.id": ["1", "2"]}) == "1_?" and namer("a", "b", sep="-", suffix="!")({"b": ["2"], "a": ["1"]}) == "1-2!"
+    assert namer("z", prefix="p_", fallback="f")({}) == "p_f" and namer(prefix="p")({"a": ["1"]}) == "p"
+
+
+def test_conditions_on_columns_equal_those_on_sets(spark):
+    """Every condition, over all subsets of three names."""
+    import itertools
+
+    names = ["a", "b", "c"]
+    subsets = [list(x) for n in range(4) for x in itertools.combinations(names, n)]
+    places = [(a, t) for a in subsets for t in subsets if set(a) <= set(t)]
+    df = spark.createDataFrame(places, "anchors array<string>, tables array<string>")
+    given = [None, "a", {"a", "b"}, set(), only("a"), any_of("a", "b"), all_of("a", "c"), has("b"), has("a").excluding("c"), only("a") | has("c") & all_of("b"), (any_of("a") | any_of("b")).excluding("c").excluding("b"), lambda a, t: len(t) > len(a)]
+    got = df.select(*(accepted(g, F.col("anchors"), F.col("tables")).alias(f"g{i}") for i, g in enumerate(given))).collect()
+    for i, g in enumerate(given):
+        assert [r[f"g{i}"] for r in got] == [BlockSpec(g).accepts(frozenset(a), frozenset(t)) for a, t in places]
+
+
+def test_specs_matched_by_plan():
+    a, t = frozenset({"cell"}), frozenset({"cell", "atom"})
+    assert OutputPlan([BlockSpec(lambda a, t: "atom" not in t)]).match(a, t) is None
     with pytest.raises(ValueError):
         BlockSpec(single_block=True, attach_to="x")
 

@@ -7,18 +7,22 @@ than WINDOW words are the repeats.
 - Sparse suffixes. Only suffixes at anchors are indexed: in every window the GRAM words with the smallest hash, leftmost
   on ties. Equal windows have equal anchors, so no repeat is missed; one suffix in about twenty is kept.
 - Prefixes. A suffix's group is its first GRAM words (its anchor). An anchor that only one document has is dropped before
-  any text moves. A group above GROUP suffixes is split by document; what its parts leave undecided is settled by the
-  longest prefix there is, the whole window (128-bit hashes).
-- Trees. A suffix comes with the words of the windows that have it as their anchor. Names of runs of 1, 2, 4, ..., 32
-  words, each from two names of half the length, give the node of each window at depth WINDOW; a node with several
-  documents is a repeat, and all but its smallest doc_id lose the window.
+  any text moves. Where an anchor has more than GROUP suffixes, prefixes of GRAM words are too short: its suffixes are
+  dealt out by document, each part's trees decide what they can, and what stays is settled by prefixes of WINDOW words
+  (128-bit hashes, without texts). There are no lengths between: a window holds its anchor anywhere, so two equal windows
+  have only GRAM words from the anchor on in common for sure, and WINDOW words from their start; and copies, which make
+  the large groups, have long prefixes in common too.
+- Trees. A suffix comes with the words of the windows that have it as their anchor. In a group the suffixes from all those
+  windows' starts are sorted by ranks of 1, 2, 4, ... words and the lengths of the prefixes that neighbours share give the
+  tree: a run of neighbours that share d words or more is an internal node of depth d. Nodes of depth WINDOW or more are the
+  repeats (maximal_repeats lists them all); of each topmost one all but its smallest doc_id lose the window.
 
 Before suffixes are shuffled, equal ones of a chunk meet: all but the smallest document's are decided there. Whole
 documents that are copies of another are found by digest and don't enter the trees.
 
 Defined cases: a null text has no words; rows with a null doc_id are neither earlier nor later than others: they keep all
 words; repeated rows of a doc_id don't remove each other and get equal results; an empty table gives no rows; other
-columns are ignored. Words are compared by 64-bit hashes, fifty at a time.
+columns are ignored; a text of any length is read whole, a long one alone. Words are compared by 64-bit hashes, fifty at a time.
 """
 
 from __future__ import annotations
@@ -189,19 +193,48 @@ def _moved(sums: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray
     return mix((sums[b] - sums[a]) * _both(len(sums), k)[1][a])
 
 
-def tree_nodes(word: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The name of the node at depth `window` for the suffix from each word on: equal names, equal words."""
-    name, have = pd.factorize(word)[0].astype(np.int64), 1
-
-    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return pd.factorize(a * (int(b.max(initial=0)) + 1) + b)[0].astype(np.int64)
-
-    while have * 2 <= window:
-        name = joined(name[:-have], name[have:])
+def suffix_tree(word: np.ndarray, end: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes word[i : end[i]] of starts i, in order (of words' numbers), and how many words each has in common with
+    the one before it (0 for the first). Ranks of 1, 2, 4, ... words are each made of two ranks of half the length."""
+    n, size = len(word), end - np.arange(len(word))
+    rank = [np.unique(word, return_inverse=True)[1].astype(np.int64) + 1]
+    have = 1
+    while have < int(size[starts].max(initial=1)):
+        at = np.minimum(np.arange(n) + have, n - 1)
+        rest = np.where(size > have, rank[-1][at], 0)  # 0: the suffix ends there
+        rank.append(np.unique(rank[-1] * (n + 1) + rest, return_inverse=True)[1].astype(np.int64) + 1)
         have *= 2
-    if have < window:
-        name = joined(name[: len(name) - (window - have)], name[window - have :])
-    return name
+    order = starts[np.argsort(rank[-1][starts], kind="stable")]
+    shared = np.zeros(len(order), dtype=np.int64)
+    a, b = order[:-1].copy(), order[1:].copy()
+    both = np.zeros(len(a), dtype=np.int64)
+    for k in range(len(rank) - 1, -1, -1):
+        left = np.minimum(end[order[:-1]] - a, end[order[1:]] - b)
+        x, y = np.minimum(a, n - 1), np.minimum(b, n - 1)
+        step = np.where((left > 0) & (rank[k][x] == rank[k][y]), np.minimum(left, 1 << k), 0)
+        a, b, both = a + step, b + step, both + step
+    shared[1:] = both
+    return order, shared
+
+
+def subtrees(shared: np.ndarray, depth: int) -> np.ndarray:
+    """For each suffix in order, the number of its topmost node of `depth` or more words (a leaf is one of its own)."""
+    return np.cumsum(shared < depth) - 1
+
+
+def maximal_repeats(shared: np.ndarray, depth: int) -> list[tuple[int, int, int]]:
+    """(first, end, words) of all internal nodes of `depth` or more words: suffixes first .. end - 1 in order have that
+    many words in common, and no more."""
+    out, open_ = [], []
+    for i, k in enumerate([*shared[1:].tolist(), 0], 1):
+        first = i - 1
+        while open_ and open_[-1][1] > k:
+            first, words = open_.pop()
+            if words >= depth:
+                out.append((first, i, words))
+        if k and (not open_ or open_[-1][1] < k):
+            open_.append((first, k))
+    return out
 
 
 def _tree(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -215,7 +248,7 @@ def _tree(table: pa.Table) -> Iterator[pa.RecordBatch]:
     table = table.filter(pa.array(known))
     if not len(table):
         return
-    h, salt, salts, doc, fp = (np.asarray(table.column(c).combine_chunks()) for c in ("h", "salt", "salts", "doc_id", "fp"))
+    salts, doc, fp = (np.asarray(table.column(c).combine_chunks()) for c in ("salts", "doc_id", "fp"))
     starts = table.column("starts").combine_chunks()
     start_off, starts = np.asarray(starts.offsets), np.asarray(starts.values)
     base = 0
@@ -224,9 +257,10 @@ def _tree(table: pa.Table) -> Iterator[pa.RecordBatch]:
         word = span_hash(prefix_sums(buf), s, e)
         per = np.diff(words) - WINDOW + 1  # windows of each suffix
         at, owner = ragged(words[:-1], per), np.repeat(np.arange(hi - lo), per)
-        group = np.cumsum(np.concatenate(([0], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))))
-        node = tree_nodes(word)[at]
-        node = pd.factorize(node * (int(group.max()) + 1) + group[owner])[0]
+        order, shared = suffix_tree(word, np.repeat(words[1:], np.diff(words)), at)
+        node = np.empty(len(word), dtype=np.int64)
+        node[order] = subtrees(shared, WINDOW)
+        node = node[at]
         least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, node, doc[owner])
         gone = doc[owner] > least[node]

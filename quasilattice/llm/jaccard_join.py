@@ -21,7 +21,8 @@ of their group) or with a sketch more than five deviations off. Every link count
 
 Defined cases: a null or blank text has an empty set and no links but to equal texts; equal texts are linked; rows with a
 null doc_id or a repeated one are rows like others; class_id is the smallest doc_id of the class (null if it has none);
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns are ignored (keep_one: kept, whatever their names); texts are read whole, whatever
+their length, a row of a long one alone.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ COORDS, DEPTH, SMALL, PART, BLOCK = 64, 4, 4096, 4096, 512
 #: Sketch similarities: what may be similar (five deviations below the threshold); what stands for another (their
 #: partners are then at most 0.45 from it); and what may be similar to a partner of one it stands for.
 MAYBE, LEADER, FAR = 0.55, 0.85, 0.35
+#: Records with more than this share of all rows are too many rows for one key of a join.
+HOT_SHARE = 1e-4
 _SEEDS = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 PATHS = "path long, rec long, sketch binary"
 
@@ -256,11 +259,30 @@ def candidate_groups(records: DataFrame, threshold: float = THRESHOLD, recall: f
     if dense is not None and not dense.isEmpty():
         parts = dense.withColumn("salt", F.pmod(F.xxhash64("rec"), F.ceil(F.col("size") / PART)).cast("int"))
         first = written(_leaf_edges(parts, MAYBE, True), "dense-leaves")
-        left = first.where("path IS NOT NULL").select("path", F.lit(0).alias("salt"), F.col("a").alias("rec"), "sketch")
+        left = across_parts(first.where("path IS NOT NULL").select("path", F.col("a").alias("rec"), "sketch"))
         edges = edges.unionByName(first.where("path IS NULL").select("a", "b")).unionByName(_leaf_edges(left, FAR, False).select("a", "b"))
     return components(edges.distinct())
 
 
+def across_parts(rows: DataFrame) -> DataFrame:
+    """rows(path, rec, sketch) with a salt for each pair of parts of at most about PART records, so that all records of a
+    path meet, in many tasks."""
+    parts = rows.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    dealt = rows.join(parts, "path").withColumn("part", F.pmod(F.xxhash64("rec"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return dealt.select("path", (F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).alias("salt"), "rec", "sketch")
+
+
+def joined_by_record(held: DataFrame, named: DataFrame) -> DataFrame:
+    """held(doc_id, rec) with named(rec, rows, ...), a row a record of `rows` rows. Records with more than a HOT_SHARE of all rows,
+    so at most 1 / HOT_SHARE of them, are broadcast; no task gets all copies of a text."""
+    total = named.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    hot = F.col("rows") > max(1000, int(total * HOT_SHARE))
+    first = held.join(F.broadcast(named.where(hot)), "rec", "left")
+    rest = first.where("rows IS NULL").select(*held.columns).join(named.where(~hot), "rec")
+    return first.where("rows IS NOT NULL").unionByName(rest)
+
+
 LINKS = "rec long, links long, root long"
 
 
@@ -355,10 +377,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     linked = components(links.select(F.col("rec").alias("a"), F.col("root").alias("b")).distinct())
     number = links.groupBy("rec").agg(F.sum("links").alias("links"))
     classes = records.select("rec", "doc_id", "rows").join(linked.withColumnRenamed("node", "rec"), "rec", "left").join(number, "rec", "left").withColumn("root", F.coalesce("root", "rec"))
-    classes = written(classes.select("rec", "root", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links")), "record-classes")
+    classes = written(classes.select("rec", "root", "doc_id", "rows", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links")), "record-classes")
     least = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rec")).alias("x")).select("root", F.col("x.doc_id").alias("class_id"), F.col("x.rec").alias("lead"))
-    named = written(classes.join(least, "root").select("rec", "class_id", "n_links", (F.col("rec") == F.col("lead")).alias("leads")), "named-classes")
-    out = held.select("doc_id", "rec").join(named, "rec")
+    named = written(classes.join(least, "root").select("rec", "rows", "class_id", "n_links", (F.col("rec") == F.col("lead")).alias("leads")), "named-classes")
+    out = joined_by_record(held.select("doc_id", "rec"), named)
     return out.select("doc_id", "rec", "class_id", "n_links", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("leads"))
 
 

@@ -1,10 +1,12 @@
 """Substring dedup, Jaccard join and decontamination: against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quasilattice.llm import components, decontaminate, jaccard_join, substring_dedup
@@ -79,14 +81,40 @@ def test_dedup_of_nothing(spark):
     assert substring_dedup.dedup(frame(spark, [(1, "x")]).limit(0)).count() == 0
 
 
-def test_tree_nodes_name_equal_windows():
-    word = np.random.default_rng(0).integers(0, 2, 3000).astype(np.uint64)
-    for window in (1, 2, 5, 11, 50):
-        names = substring_dedup.tree_nodes(word, window)
-        seen = {}
-        for i, n in enumerate(names[: len(word) - window + 1].tolist()):
-            assert seen.setdefault(n, tuple(word[i : i + window])) == tuple(word[i : i + window])
-        assert len(seen) == len({tuple(word[i : i + window]) for i in range(len(word) - window + 1)})
+def test_suffix_trees_equal_sorted_suffixes():
+    rng = np.random.default_rng(0)
+    for _ in range(8):
+        sizes = rng.integers(1, 40, 12)
+        ends = np.cumsum(sizes)
+        word, end = rng.integers(0, 2, ends[-1]), np.repeat(ends, sizes)
+        starts = np.flatnonzero(rng.random(ends[-1]) < 0.7)
+        if not len(starts):
+            continue
+        order, shared = substring_dedup.suffix_tree(word.astype(np.uint64), end, starts)
+        suffix = [tuple(word[i : end[i]].tolist()) for i in order]
+        assert suffix == sorted(suffix) and sorted(order.tolist()) == starts.tolist()
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert shared.tolist() == [0] + [common(a, b) for a, b in itertools.pairwise(suffix)]
+        for depth in (1, 3, 8):
+            node = substring_dedup.subtrees(shared, depth)
+            full = [s[:depth] if len(s) >= depth else (i, None) for i, s in enumerate(suffix)]
+            assert [node[i] == node[i - 1] for i in range(1, len(node))] == [full[i] == full[i - 1] for i in range(1, len(node))]
+            want = set()  # every prefix that two suffixes share and that can't go on for all of them
+            for i, j in itertools.combinations(range(len(suffix)), 2):
+                k = common(suffix[i], suffix[j])
+                if k >= depth:
+                    inside = [x for x, s in enumerate(suffix) if s[:k] == suffix[i][:k]]
+                    want.add((inside[0], inside[-1] + 1, k))
+            got = substring_dedup.maximal_repeats(shared, depth)
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_dedup_of_a_text_longer_than_a_chunk(spark):
+    """Above 2 MB: a text alone, and its second half in another document."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400_000)]
+    rows = [(1, " ".join(words)), (2, "start " + " ".join(words[200_000:])), (3, " ".join(words[:40]))]
+    assert [r[:3] for r in got_dedup(spark, rows, 2)] == [(1, 400_000, 0), (2, 200_001, 200_000), (3, 40, 0)]
 
 
 # ---- Jaccard
@@ -245,3 +273,47 @@ def test_contamination_equals_brute_force(spark):
     cleaned = decontaminate.clean(df, bench)
     assert cleaned.columns == df.columns and sorted((r["doc_id"] for r in cleaned.collect()), key=str) == sorted((d for d, _ in docs if d not in bad), key=str)
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small", [4096, 48])
+def test_recall_just_above_the_threshold(spark, monkeypatch, small):
+    """1200 pairs of similarity 0.80 to 0.85 among texts that share many words; with leaves of any size and with recursion."""
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(300)]
+    rows, planted = [], []
+    while len(planted) < 1200:
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(60, 200))]
+        other = list(base)
+        while True:
+            other[rng.randrange(len(other))] = rng.choice(vocabulary)
+            a, b = shingle_set(" ".join(base)), shingle_set(" ".join(other))
+            likeness = len(a & b) / len(a | b)
+            if likeness <= 0.85:
+                break
+        if likeness >= 0.8:
+            planted.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 2400
+    found = np.mean([got[a] == got[b] == (a, 1) for a, b in planted])
+    assert found >= 0.99
+
+
+def test_parts_of_a_dense_path_meet(spark, monkeypatch):
+    """Representatives of a path are dealt out in parts, and every two of them are in one of its groups."""
+    monkeypatch.setattr(jaccard_join, "PART", 10)
+    rows = spark.createDataFrame([(p, r, b"x") for p in (1, 2) for r in range(35 * p)], "path long, rec long, sketch binary")
+    groups = {}
+    for r in jaccard_join.across_parts(rows).collect():
+        groups.setdefault((r["path"], r["salt"]), set()).add(r["rec"])
+    for p in (1, 2):
+        met = {x for (q, _), g in groups.items() if q == p for x in itertools.combinations(sorted(g), 2)}
+        assert met == set(itertools.combinations(range(35 * p), 2)) and max(len(g) for (q, _), g in groups.items() if q == p) < 35 * p
+
+
+def test_copies_of_one_text_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 1e-9)
+    rows = [(i, "the same text again and again") for i in range(1500)] + [(i, f"other text {i}") for i in range(1500, 1600)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (0, 1499) if i < 1500 else (i, 0) for i in range(1600)}

@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quasilattice.llm import decontaminate, jaccard_join, lang_crf, mixing, pfor
-from quasilattice.llm.common import read_table, written
+from quasilattice.llm.common import read_table, unused, written
 
 #: Texts without letters are rejected, and those whose best language has a smaller share of words.
 LEAST_SHARE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = lang_crf.identify(docs, lang_crf.fit(docs), ("_language", "_share"))
-    return named.where((F.col("_language") != "und") & (F.col("_share") >= LEAST_SHARE)).drop("_language", "_share")
+    language, share = unused("language", docs.columns), unused("share", docs.columns)
+    named = lang_crf.identify(docs, lang_crf.fit(docs), (language, share))
+    return named.where((F.col(language) != "und") & (F.col(share) >= LEAST_SHARE)).drop(language, share)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

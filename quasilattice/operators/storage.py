@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
-A written table cuts the lineage and outlives executors. The folder is spark.checkpoint.dir; where that is unset, as in
-tests, a fresh one is made.
+A written table cuts the lineage and outlives executors. The folder is spark.checkpoint.dir; where that is unset, a local
+session, which has one machine, gets a fresh one, and any other is refused. drop_written() frees what a session wrote, when
+nothing that it returned is needed any more.
 """
 
 from __future__ import annotations
@@ -12,17 +13,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PATHS: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_ql_shared_dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = sc._ql_shared_dir = tempfile.mkdtemp(prefix="ql-shared-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables written by this process for the session's application; how many there were."""
+    jvm, paths = spark._jvm, _PATHS.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:

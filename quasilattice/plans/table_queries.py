@@ -59,8 +59,8 @@ def key_stub_per_block(s: SparkSession, d: str) -> DataFrame:
 
 def upsert_coalesce(s: SparkSession, d: str) -> DataFrame:
     c = _t(s, d, "customer")
-    old = c.where("c_custkey < 100").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("v"))
-    return R.upsert_coalesce(old, c.where("c_custkey > 50").select(F.col("c_custkey").alias("k"), F.lit(0.0).alias("v")), ["k"], ["v"])
+    old = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("v"))
+    return R.upsert_coalesce(old, c.where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("k"), F.lit(0.0).alias("v")), ["k"], ["v"])
 
 
 def insert_ignore(s: SparkSession, d: str) -> DataFrame:
@@ -133,10 +133,6 @@ def quote_cif2(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "part").select("p_partkey", C.quoted(F.col("p_name")).alias("tok"))
 
 
-def uuid_regime(s: SparkSession, d: str) -> DataFrame:
-    return R.pattern_counts(_t(s, d, "documents").select("lang", "source"), ["lang"], "source", "^src[0-4]$")
-
-
 def dataset_select(s: SparkSession, d: str) -> DataFrame:
     return R.in_any_or_unlisted(_t(s, d, "documents").select("doc_id"), _t(s, d, "labels"), "doc_id", F.col("quality") == 1)
 
@@ -149,25 +145,10 @@ def fingerprint_group(s: SparkSession, d: str) -> DataFrame:
     return R.fingerprint(_t(s, d, "orders"), ["o_custkey"], "o_orderstatus", "fp").groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
 
 
-def merge_group_full_outer(s: SparkSession, d: str) -> DataFrame:
-    a = _t(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("cn"))
-    b = _t(s, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("sn"))
-    return a.join(b, "k", "full_outer").select("k", "cn", "sn")
-
-
 def positional_zip(s: SparkSession, d: str) -> DataFrame:
     return R.positional_zip(_t(s, d, "region").select("r_regionkey", "r_name"), _t(s, d, "nation").select("n_nationkey", "n_name"), "r_regionkey", "n_nationkey").select("r", "r_name", "n_name")
 
 
-def decimal_align(s: SparkSession, d: str) -> DataFrame:
-    p = _t(s, d, "part").select("p_partkey", C.integer_part(F.col("p_retailprice").cast("decimal(12,2)").cast("string")).alias("ip"))
-    return p.select("p_partkey", F.lpad("ip", p.agg(F.max(F.length("ip"))).scalar(), F.lit(" ")).alias("ip"))
-
-
-def col_widths(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "documents").groupBy("lang").agg(F.max(F.length("source")).alias("w"), F.bool_or(F.contains("text", F.lit("\n"))).alias("ml"))
-
-
 def type_contents_check(s: SparkSession, d: str) -> DataFrame:
     rules = [("Word", ~C.contents_ok(F.col("p_name"), "Word")), ("Integer", ~C.contents_ok(F.col("p_brand"), "Integer"))]
     return R.rule_issues(_t(s, d, "part"), ["p_partkey"], rules)
@@ -187,24 +168,11 @@ def unknown_tags(s: SparkSession, d: str) -> DataFrame:
     return tags.join(known, tags["event_type"] == known["tag"], "left_anti")
 
 
-def keyless_cardinality(s: SparkSession, d: str) -> DataFrame:
-    return R.repeated_groups(_t(s, d, "documents").select(F.col("lang").alias("doc_lang")), ["doc_lang"])
-
-
 def fidelity_multiset_diff(s: SparkSession, d: str) -> DataFrame:
     o = _t(s, d, "orders")
     return R.multiset_difference(o.select("o_custkey", "o_orderstatus"), o.where("o_totalprice > 100000").select("o_custkey", "o_orderstatus"))
 
 
-def schema_mismatch(s: SparkSession, d: str) -> DataFrame:
-    b, l = _t(s, d, "benchmark"), _t(s, d, "labels")
-    return b.join(l, b["item_id"] == l["doc_id"], "left_semi").select("item_id")
-
-
-def block_filter(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "events").where("user_id = 7").select("event_id", "value")
-
-
 def all_blocks_partition(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "orders").groupBy(F.concat(F.lit("orders_"), "o_orderstatus").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
 
@@ -213,9 +181,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     natural_key_merge, merge_conflicts, metatable_counts, tag_presence, active_columns, fk_fill_same_scope, fk_chain_two_hops,
     stub_parents, key_stub_per_block, upsert_coalesce, insert_ignore, keyed_default, scalar_default, su_split, typed_cast,
     json_leaf_cast, route_tags, pivot_loop, loop_pad, dedup_first, dedup_last, strip_padding, dense_row_ids,
-    name_disambiguation, sanitize_name, quote_cif2, uuid_regime, dataset_select, dataset_intersection, fingerprint_group,
-    merge_group_full_outer, positional_zip, decimal_align, col_widths, type_contents_check, enum_range_check,
-    enum_states_check, unknown_tags, keyless_cardinality, fidelity_multiset_diff, schema_mismatch, block_filter, all_blocks_partition,
+    name_disambiguation, sanitize_name, quote_cif2, dataset_select, dataset_intersection, fingerprint_group,
+    positional_zip, type_contents_check, enum_range_check,
+    enum_states_check, unknown_tags, fidelity_multiset_diff, all_blocks_partition,
 )}
 
 ORACLE_SQL: dict[str, str] = {
@@ -228,7 +196,7 @@ ORACLE_SQL: dict[str, str] = {
     "fk_chain_two_hops": r"""SELECT c.c_custkey, r.r_name FROM customer c LEFT JOIN nation n ON n.n_nationkey=c.c_nationkey LEFT JOIN region r ON r.r_regionkey=n.n_regionkey""",
     "stub_parents": r"""SELECT DISTINCT e.user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey=e.user_id AND c.c_acctbal>0)""",
     "key_stub_per_block": r"""SELECT d.lang, min(d.doc_id) AS m FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id=d.doc_id) GROUP BY d.lang""",
-    "upsert_coalesce": r"""SELECT COALESCE(a.k,b.k) AS k, COALESCE(a.v,b.v) AS v FROM (SELECT c_custkey AS k, CASE WHEN c_acctbal>0 THEN c_acctbal END AS v FROM customer WHERE c_custkey<100) a FULL JOIN (SELECT c_custkey AS k, 0.0 AS v FROM customer WHERE c_custkey>50) b ON a.k=b.k""",
+    "upsert_coalesce": r"""SELECT COALESCE(a.k,b.k) AS k, COALESCE(a.v,b.v) AS v FROM (SELECT c_custkey AS k, CASE WHEN c_acctbal>0 THEN c_acctbal END AS v FROM customer WHERE c_mktsegment<>'BUILDING') a FULL JOIN (SELECT c_custkey AS k, 0.0 AS v FROM customer WHERE c_mktsegment<>'MACHINERY') b ON a.k=b.k""",
     "insert_ignore": r"""SELECT r_regionkey AS k FROM region UNION ALL SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)""",
     "keyed_default": r"""SELECT e.event_id, COALESCE(CASE WHEN e.event_type='view' THEN 'own' END, d.dv) AS v FROM events e LEFT JOIN (VALUES ('click','c'),('error','x')) d(k,dv) ON d.k=e.event_type""",
     "scalar_default": r"""SELECT p_partkey, COALESCE(CASE WHEN p_size<25 THEN p_brand END,'Brand#0') AS b FROM part""",
@@ -245,21 +213,14 @@ ORACLE_SQL: dict[str, str] = {
     "name_disambiguation": r"""SELECT p_partkey, CASE WHEN r>1 THEN p_name||'_'||r ELSE p_name END AS nm FROM (SELECT p_partkey,p_name,row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) r FROM part)""",
     "sanitize_name": r"""SELECT page_id, trim(regexp_replace(regexp_replace(url,'[^a-zA-Z0-9_]','_','g'),'_+','_','g'),'_') AS nm FROM pages""",
     "quote_cif2": r"""SELECT p_partkey, CASE WHEN p_name NOT LIKE '% %' THEN p_name WHEN p_name NOT LIKE '%''%' THEN ''''||p_name||'''' ELSE '"'||p_name||'"' END AS tok FROM part""",
-    "uuid_regime": r"""SELECT lang, count(*) FILTER (WHERE NOT regexp_matches(source,'^src[0-4]$')) AS bad, count(*) AS total FROM documents GROUP BY lang""",
     "dataset_select": r"""SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id=d.doc_id AND l.quality=1) OR NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id=d.doc_id)""",
     "dataset_intersection": r"""SELECT event_type FROM events GROUP BY 1 HAVING count(DISTINCT user_id)=(SELECT max(c) FROM (SELECT count(DISTINCT user_id) c FROM events GROUP BY event_type))""",
     "fingerprint_group": r"""SELECT fp, count(*) AS n FROM (SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS fp FROM orders GROUP BY o_custkey) GROUP BY fp""",
-    "merge_group_full_outer": r"""SELECT COALESCE(a.k,b.k) AS k, a.n AS cn, b.n AS sn FROM (SELECT c_nationkey k, count(*) n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey k, count(*) n FROM supplier GROUP BY 1) b ON a.k=b.k""",
     "positional_zip": r"""SELECT COALESCE(a.r, b.r) AS r, a.r_name, b.n_name FROM (SELECT row_number() OVER (ORDER BY r_regionkey) r, r_name FROM region) a FULL JOIN (SELECT row_number() OVER (ORDER BY n_nationkey) r, n_name FROM nation) b ON a.r=b.r""",
-    "decimal_align": r"""SELECT p_partkey, lpad(split_part(s,'.',1), (max(length(split_part(s,'.',1))) OVER ())::INT,' ') AS ip FROM (SELECT p_partkey, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) s FROM part)""",
-    "col_widths": r"""SELECT lang, max(length(source)) AS w, bool_or(text LIKE '%'||chr(10)||'%') AS ml FROM documents GROUP BY lang""",
     "type_contents_check": r"""SELECT p_partkey, 'Word' AS chk FROM part WHERE regexp_matches(p_name,'\s') UNION ALL SELECT p_partkey,'Integer' FROM part WHERE NOT regexp_full_match(p_brand,'[+-]?\d+')""",
     "enum_range_check": r"""SELECT l_orderkey, l_discount FROM lineitem WHERE l_discount<0.02 OR l_discount>0.08""",
     "enum_states_check": r"""SELECT o_orderkey, o_orderpriority FROM orders WHERE lower(o_orderpriority) NOT IN ('1-urgent','2-high')""",
     "unknown_tags": r"""SELECT DISTINCT event_type FROM events WHERE event_type NOT IN ('click','view')""",
-    "keyless_cardinality": r"""SELECT doc_lang, n FROM (SELECT lang doc_lang, count(*) n FROM documents GROUP BY 1) WHERE n>1""",
     "fidelity_multiset_diff": r"""SELECT 'a' AS side, * FROM (SELECT o_custkey, o_orderstatus FROM orders EXCEPT ALL SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice>100000) UNION ALL SELECT 'b', * FROM (SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice>100000 EXCEPT ALL SELECT o_custkey, o_orderstatus FROM orders)""",
-    "schema_mismatch": r"""SELECT b.item_id FROM benchmark b WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id=b.item_id)""",
-    "block_filter": r"""SELECT event_id, value FROM events WHERE user_id=7""",
     "all_blocks_partition": r"""SELECT 'orders_'||o_orderstatus AS block, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1""",
 }

@@ -22,7 +22,7 @@ Names = Sequence[str]
 
 
 def first_non_null(value: str | Column, order: str | Column) -> Column:
-    """The first non-null value by order: one hash aggregate, no sort."""
+    """The first non-null value by order: one aggregate, no window. Spark hashes numbers for it and sorts text."""
     value = F.col(value) if isinstance(value, str) else value
     order = F.col(order) if isinstance(order, str) else order
     return F.min_by(value, F.when(value.isNotNull(), order))

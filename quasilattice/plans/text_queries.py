@@ -68,7 +68,7 @@ def cif_malformed_recovery(s: SparkSession, d: str) -> DataFrame:
 def text_field_protocols(s: SparkSession, d: str) -> DataFrame:
     """Whole documents written as values, in folded and prefixed text fields where they need them, and read back."""
     token = F.udf(lambda t: None if t is None else quote_text(t, line_limit=80), "string", useArrow=True)
-    texts = _t(s, d, "documents").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("source"), F.concat(F.lit("#\\#CIF_2.0\ndata_d\n_text "), token("text"), F.lit("\n")).alias("content"))
+    texts = _t(s, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("source"), F.concat(F.lit("#\\#CIF_2.0\ndata_d\n_text "), token("text"), F.lit("\n")).alias("content"))
     return cells_of_texts(texts).select(F.col("source").cast("long").alias("doc_id"), F.md5("value").alias("digest"))
 
 
@@ -203,7 +203,7 @@ ORACLE_SQL = {
     "cif_tokens": _PER_TEXT.format("4 + 2 * count(*) AS n, 2 * count(*) AS n_values"),
     "cif_roundtrip": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders",
     "cif_malformed_recovery": _PER_TEXT.format("2 * count(*) - 1 AS n_values, 1::BIGINT AS n_errors"),
-    "text_field_protocols": "SELECT doc_id, md5(text) AS digest FROM documents WHERE length(text) > 0",
+    "text_field_protocols": "SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL",
     "container_split_su": """SELECT p_partkey, '["' || p_size || '.25",["' || p_size || '"]]' AS number, '["0.03",["0"]]' AS su FROM part""",
     "propagate_full": "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders",
     "load_fallback": "SELECT DISTINCT 'c' || o_custkey::VARCHAR AS block_id, '_shop.unknown' AS tag, 'u' AS value FROM orders",

@@ -102,7 +102,10 @@ def is_table_key_quotable(key: str) -> bool:
 
 def _inline(s: str) -> str:
     token = quote_text(s)
-    return f"'{s}'" if token == s and "'" not in s else token
+    if token != s:
+        return token
+    mark = next((m for m in ("'", '"', "'''", '"""') if m[0] not in s or len(m) == 3 and m not in s and not s.endswith(m[0])), None)
+    return make_text_field(s) if mark is None else f"{mark}{s}{mark}"
 
 
 def format_container(value: object, version: str = V2) -> str:
@@ -116,8 +119,7 @@ def format_container(value: object, version: str = V2) -> str:
         for k, v in value.items():
             if not is_table_key_quotable(k):
                 raise ValueError(f"table key can't be written on one line: {k[:40]!r}")
-            key = _inline(k)
-            parts.append(f"{key if key[0] in chr(39) + chr(34) else chr(34) + k + chr(34)}:{format_container(v)}")
+            parts.append(f"{_inline(k)}:{format_container(v)}")
         return "{" + " ".join(parts) + "}"
     return quote("?" if value is None else str(value), version)
 

@@ -10,11 +10,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from quasilattice.plans import feature_queries, table_queries, text_queries
+from quasilattice.plans import feature_queries, operator_queries, table_queries, text_queries
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = table_queries.QUERIES | text_queries.QUERIES | feature_queries.QUERIES
-ORACLE = table_queries.ORACLE_SQL | text_queries.ORACLE_SQL | feature_queries.ORACLE_SQL
+QUERIES = table_queries.QUERIES | text_queries.QUERIES | feature_queries.QUERIES | operator_queries.QUERIES
+ORACLE = table_queries.ORACLE_SQL | text_queries.ORACLE_SQL | feature_queries.ORACLE_SQL | operator_queries.ORACLE_SQL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
 

@@ -176,3 +176,9 @@ def test_clean_steps():
     assert [b.name for b in out.blocks] == ["x"] and out["x"]["_a"] == ["1"] and out["x"]["_l"] == ["1"] and "_orphan.value" not in out["x"]
     assert {w.category for w in log} == {"error_value", "block", "tag", "padding"} and len(cif.blocks) == 2
     assert clean(cif, deduplicate_tags="last")[0]["x"]["_a"] == ["2"]
+
+
+def test_table_keys_with_both_quotes_read_back():
+    for key in ("a'b\"c", "a'b", 'a"b', "x", "a b'", "a''b\"d"):
+        cif, errors = build("#\\#CIF_2.0\ndata_d\n_a.t " + format_container({key: "1"}) + "\n")
+        assert not errors and [str(k) for k in cif.blocks[0]["_a.t"][0]] == [key], key

@@ -10,7 +10,7 @@ from ..functions import columns as C
 from ..plans.schema import BLOCK, Column, Table
 from . import relational as R
 from .ingest import ITER, LOOP, ORDER, SHOWN, Dataset
-from .storage import written
+from .storage import local_table, written
 
 NUMERIC = ("Integer", "Real", "Float")
 LOSSES = "kind string, table_name string, column_name string, value string"
@@ -96,7 +96,7 @@ def fill_keyed(df: DataFrame, table: Table, column: Column, data: Dataset) -> Da
     if not path or not rows:
         return df
     spark = df.sparkSession
-    lookup = spark.createDataFrame(rows, ", ".join([*(f"_i{i} string" for i in range(len(path))), "_default string"]))
+    lookup = local_table(spark, rows, ", ".join([*(f"_i{i} string" for i in range(len(path))), "_default string"]))
     columns = df.columns
     for i, (where, link, value) in enumerate(path):
         if where == table.name:

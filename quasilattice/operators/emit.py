@@ -1,7 +1,7 @@
 """Writing a dataset as text.
 
 What goes in which block is relational: every mode gives the rows of all tables a block key, and each block's rows are
-then rendered by one call of a grouped Python function. A block's text is a value of one row, so output is a DataFrame of
+then rendered in one stream of Arrow batches, a block at a time. A block's text is a value of one row, so output is a DataFrame of
 (position, name, text); emit() joins it on the driver, emit_files() writes it where Spark can.
 """
 
@@ -11,9 +11,11 @@ import json
 import re
 import warnings
 from collections import defaultdict
+from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from .ingest import ITER, LOOP, ORDER, Dataset
 ROWS = "key string, position long, table_name string, ord string, loop_id int, row string"
 RENDERED = "key string, position long, spec int, name string, body string"
 MAX_NAME_1 = 75
+BATCH_CHARS = 4_000_000
 
 
 def emit(data: Dataset, schema: Schema | None = None, *, mode: EmitMode = EmitMode.ORIGINAL, version: str = V2, plan: OutputPlan | None = None, reconstruct_su: bool = False, line_ending: str = "\n", pretty: bool = True, line_limit: int = LINE_LIMIT) -> str:
@@ -53,7 +56,7 @@ def emit_blocks(data: Dataset, schema: Schema | None = None, *, mode: EmitMode =
     rows = {EmitMode.ORIGINAL: original_rows, EmitMode.GROUPED: grouped_rows, EmitMode.ONE_BLOCK: one_block_rows, EmitMode.ALL_BLOCKS: all_block_rows}[mode](data)
     render = _Renderer(schema, plan, mode, version, reconstruct_su, pretty, line_limit)
     rows = planned(rows, schema, plan) if plan.specs and mode in (EmitMode.GROUPED, EmitMode.ONE_BLOCK) else rows.withColumn("spec", F.lit(None).cast("int"))
-    made = rows.groupBy("key").applyInPandas(lambda pdf: render(pdf), RENDERED)
+    made = rows.select("key", "position", "table_name", "loop_id", "ord", "row", "spec").repartition("key").sortWithinPartitions("key", "table_name", "ord").mapInArrow(render.blocks, RENDERED)
     order = ["_from", "key"] if mode is EmitMode.ORIGINAL else ["spec", "name", "_from", "key"]
     made = made.withColumnRenamed("position", "_from")
     n = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(*order))
@@ -223,6 +226,11 @@ def sanitize(name: str) -> str:
     return re.sub("_+", "_", re.sub("[^A-Za-z0-9_]", "_", name)).strip("_")
 
 
+def _rendered(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [("key", pa.string()), ("position", pa.int64()), ("spec", pa.int32()), ("name", pa.string()), ("body", pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+
+
 class _Renderer:
     """The rows of one block to its text. A plain object, so that it can be sent to the workers and tested without Spark."""
 
@@ -231,12 +239,24 @@ class _Renderer:
         self.reconstruct_su, self.pretty, self.limit = reconstruct_su, pretty, line_limit
         self.rank = {t: i for i, t in enumerate(topological(schema))}
 
-    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        key, position = pdf["key"].iloc[0], int(pdf["position"].min()) if pdf["position"].notna().any() else 0
-        rows = [(r.table_name, r.ord, None if pd.isna(r.loop_id) else int(r.loop_id), json.loads(r.row)) for r in pdf.itertuples() if isinstance(r.table_name, str) and isinstance(r.row, str)]
-        own = pdf["spec"].dropna()
-        spec, name, body = self.render(key, rows, int(own.iloc[0]) if len(own) else None)
-        return pd.DataFrame([(key, position, spec, name, body)], columns=["key", "position", "spec", "name", "body"])
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """RENDERED of rows that come block by block: one block is held at a time."""
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out, size = [], 0
+        for key, group in groupby(rows, key=lambda r: r[0]):
+            positions, own, said = set(), None, []
+            for _, position, table, loop, ord_, row, spec in group:
+                positions.add(position)
+                own = spec if own is None else own
+                if table is not None and row is not None:
+                    said.append((table, ord_, loop, json.loads(row)))
+            out.append((key, min((p for p in positions if p is not None), default=0), *self.render(key, said, own)))
+            size += len(out[-1][4])
+            if size > BATCH_CHARS:
+                yield _rendered(out)
+                out, size = [], 0
+        if out:
+            yield _rendered(out)
 
     def render(self, key: str, rows: list[tuple[str, str, int | None, dict]], matched: int | None = None) -> tuple[int, str, str]:
         tables: dict[str, list[tuple[str, int | None, dict]]] = defaultdict(list)

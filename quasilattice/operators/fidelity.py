@@ -15,6 +15,7 @@ from ..plans.schema import ID, Schema, Table, generate_schema
 from ..sources.model import CifFile, build
 from . import relational as R
 from .ingest import Dataset, IngestionError, ingest
+from .storage import local_table
 
 MISMATCHES = "kind string, side string, table_name string, detail string"
 SHOWN = 200
@@ -114,7 +115,7 @@ def compare_places(a: Dataset, b: Dataset) -> DataFrame:
     """Tags that one source has in the fallback and the other in a table."""
     out = a.spark.createDataFrame([], MISMATCHES)
     for side, x, y in (("a", a, b), ("b", b, a)):
-        known = a.spark.createDataFrame([(tag, t) for (t, _), tag in y.schema.column_to_tag.items() if t in y.tables], "tag string, table_name string")
+        known = local_table(a.spark, [(tag, t) for (t, _), tag in y.schema.column_to_tag.items() if t in y.tables], "tag string, table_name string")
         hit = x.infra["fallback"].select("tag").distinct().join(known, "tag").join(y.infra["fallback"].select("tag").distinct(), "tag", "left_anti")
         out = out.unionByName(hit.select(F.lit("schema_mismatch").alias("kind"), F.lit(side).alias("side"), "table_name", F.concat(F.col("tag"), F.lit(" is in the fallback of this source only")).alias("detail")))
     return out

@@ -21,7 +21,7 @@ from ..plans.schema import BLOCK, ID, INFRASTRUCTURE, ROW, Schema, Table, siblin
 from ..sources.cells import cells_frame
 from ..sources.model import CifFile
 from . import relational as R
-from .storage import written
+from .storage import at_once, local_table, written, written_all
 
 DATASET_TAG = "_audit_dataset.id"
 LOOP, ITER, ORDER = "_loop", "_iter", "_order"
@@ -80,29 +80,35 @@ def select_blocks(cells: DataFrame, dataset_id: str | None = None) -> DataFrame:
     ids = cells.where((F.col("tag") == DATASET_TAG) & ~F.col("value").isin(".", "?")).select("block_id", F.col("value").alias("_dataset")).distinct()
     if dataset_id is not None:
         return R.in_any_or_unlisted(cells, ids.withColumnRenamed("_dataset", "d"), "block_id", F.col("d") == dataset_id)
-    n, most = ids.agg(F.count_distinct("block_id")).first()[0], ids.groupBy("_dataset").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if n and n != most:
+    n = ids.agg(F.count_distinct("block_id")).first()[0]
+    if n and n != ids.groupBy("_dataset").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]:
         raise IngestionError("blocks belong to datasets that have none in common: choose one by dataset_id")
     return cells
 
 
 def tag_routes(spark: SparkSession, schema: Schema) -> DataFrame:
-    """tag, table_name, column_name, su_column, key_names, deprecated: a row for each tag and alias. Dictionary-sized."""
+    """tag, table_name, table_no, column_name, su_column, key_no, deprecated: a row for each tag and alias. Tables are numbered
+    by name, sets of key names by their text. Dictionary-sized."""
     su, rows = schema.su_map, []
+    tables = {t: i for i, t in enumerate(sorted(schema.tables))}
+    keys = {t: "\x1f".join(sorted(x.keys)) for t, x in schema.tables.items()}
+    sets = {k: i for i, k in enumerate(sorted(set(keys.values())))}
     targets = {tag: (tag, *place) for tag, place in schema.tag_to_column.items()}
     targets |= {alias: targets[d] for alias, d in schema.alias_to_definition_id.items() if d in targets and alias not in targets}
     for tag, (definition, table, column) in targets.items():
         su_table, su_column = su.get(definition, (None, None))
-        rows.append((tag, table, column, su_column if su_table == table else None, "\x1f".join(sorted(schema.tables[table].keys)), definition in schema.deprecated_ids))
-    return spark.createDataFrame(rows, "tag string, table_name string, column_name string, su_column string, key_names string, deprecated boolean")
+        rows.append((tag, table, tables[table], column, su_column if su_table == table else None, sets[keys[table]], definition in schema.deprecated_ids))
+    return local_table(spark, rows, "tag string, table_name string, table_no int, column_name string, su_column string, key_no int, deprecated boolean")
 
 
 def route(cells: DataFrame, schema: Schema) -> DataFrame:
     """Cells with their table and column, null for those that go to the fallback: unknown tags, and whole loops over
     tables with different keys. ref_table: the table that a fallback cell of a loop belongs to or stood beside."""
     routed = R.route(cells.where("frame_idx IS NULL"), tag_routes(cells.sparkSession, schema), "tag")
-    mixed = routed.where("loop_idx IS NOT NULL AND table_name IS NOT NULL").groupBy("block_id", "loop_idx").agg((F.count_distinct("key_names") > 1).alias("_mixed"), F.min("table_name").alias("_near"))
-    routed = routed.join(mixed, ["block_id", "loop_idx"], "left").withColumn("mixed_loop", F.coalesce("_mixed", F.lit(False))).drop("_mixed")
+    loops = routed.where("loop_idx IS NOT NULL AND table_no IS NOT NULL").groupBy("block_id", "loop_idx").agg(F.min("key_no").alias("_a"), F.max("key_no").alias("_b"), F.min("table_no").alias("_no"))  # numbers: hashed, not sorted
+    names = local_table(cells.sparkSession, enumerate(sorted(schema.tables)), "_no int, _near string")
+    mixed = loops.join(names, "_no").select("block_id", "loop_idx", (F.col("_a") < F.col("_b")).alias("_mixed"), "_near")
+    routed = routed.join(mixed, ["block_id", "loop_idx"], "left").withColumn("mixed_loop", F.coalesce("_mixed", F.lit(False))).drop("_mixed", "table_no", "key_no")
     home = F.when(~F.col("mixed_loop"), F.col("table_name"))
     near = F.when(F.col("mixed_loop"), F.col("table_name")).otherwise(F.col("_near"))
     return routed.withColumn("ref_table", near).withColumn("table_name", home).drop("_near")
@@ -119,23 +125,20 @@ def container_su(value: Col) -> Col:
 
 
 def split_uncertainties(routed: DataFrame) -> DataFrame:
-    """Cells of a column with an uncertainty column, split in two; given uncertainties come before split ones."""
-    base = routed.withColumn("rank", F.lit(0))
+    """Cells of a column with an uncertainty column, split in two; given uncertainties come before split ones. Containers
+    are split in Python, all else in one pass."""
     has = F.col("su_column").isNotNull()
-    box = F.col("value").startswith(C.CONTAINER)
-    number, su = C.split_su(F.col("value"))
-
-    def both(df: DataFrame, number: Col, su: Col) -> DataFrame:
-        parts = F.array(
-            F.struct(F.col("column_name").alias("c"), number.alias("v"), F.lit(0).alias("r")),
-            F.struct(F.col("su_column").alias("c"), su.alias("v"), F.lit(1).alias("r")),
-        )
-        rows = df.withColumn("_p", F.explode(F.filter(parts, lambda p: p["v"].isNotNull())))
+    box = has & F.col("value").startswith(C.CONTAINER)
+
+    def both(df: DataFrame, number: Col, su: Col, split: Col) -> DataFrame:
+        cell = lambda c, v, r: F.struct(c.alias("c"), v.alias("v"), F.lit(r).alias("r"))
+        pair = F.filter(F.array(cell(F.col("column_name"), number, 0), cell(F.col("su_column"), su, 1)), lambda p: p["v"].isNotNull())
+        rows = df.withColumn("_p", F.explode(F.when(split, pair).otherwise(F.array(cell(F.col("column_name"), F.col("value"), 0)))))
         return rows.withColumn("column_name", F.col("_p.c")).withColumn("value", F.col("_p.v")).withColumn("rank", F.col("_p.r")).drop("_p")
 
-    plain = both(base.where(has & ~box), number, su)
-    boxed = base.where(has & box).withColumn("_s", container_su(F.col("value")))
-    return base.where(~has).unionByName(plain).unionByName(both(boxed, F.col("_s.number"), F.col("_s.su")).drop("_s"))
+    plain = both(routed.where(~F.coalesce(box, F.lit(False))), *C.split_su(F.col("value")), has)
+    boxed = routed.where(box).withColumn("_s", container_su(F.col("value")))
+    return plain.unionByName(both(boxed, F.col("_s.number"), F.col("_s.su"), F.lit(True)).drop("_s"))
 
 
 def raw_table(cells: DataFrame, table: Table) -> DataFrame:
@@ -161,15 +164,15 @@ class _Load:
         self.topo = topological(schema)
 
     def cut(self) -> None:
-        self.raw = {t: written(df, f"raw-{t}") for t, df in self.raw.items()}
+        self.raw = written_all(self.raw, "raw")
 
     def _lookup(self, df: DataFrame, parent: str, column: str, source: str) -> DataFrame:
-        """Null `column` from the parent's row of the same loop row, then its scalar row, then any row of the block, the
-        scalars first, then in order."""
+        """Null `column` from the parent's row of the same loop row, then any row of the block, the scalars first, then in
+        order."""
         rows = self.raw[parent].select(BLOCK, LOOP, ITER, ORDER, F.col(source).alias("_source"))
         order = F.struct(F.col(LOOP).isNotNull(), F.col(ORDER))
         own = rows.where(F.col(LOOP).isNotNull())
-        for on, part in (([BLOCK, LOOP, ITER], own), ([BLOCK], rows.where(F.col(LOOP).isNull())), ([BLOCK], rows)):
+        for on, part in (([BLOCK, LOOP, ITER], own), ([BLOCK], rows)):
             df = R.fill_from(df, part, on, column, "_source", order)
         return df
 
@@ -297,12 +300,13 @@ def ingest(source: CifFile | DataFrame, schema: Schema | None = None, *, spark:
     spark = spark or (into.spark if into else source.sparkSession if isinstance(source, DataFrame) else SparkSession.getActiveSession())
     cells = source if isinstance(source, DataFrame) else cells_frame(spark, source)
     schema = schema or (into.schema if into else Schema())
-    cells = written(select_blocks(cells, dataset_id), "cells")
+    cells = select_blocks(written(cells, "cells"), dataset_id)
     if into is not None:
         last = into.infra["block_order"].agg(F.max("position")).first()[0]
         cells = cells.withColumn("block_idx", (F.col("block_idx") + F.lit((last if last is not None else -1) + 1)).cast("int"))
     out = Dataset(spark, schema)
-    routed = written(split_uncertainties(route(cells, schema)), "routed")
+    routed = route(cells, schema)
+    routed = written(split_uncertainties(routed) if schema.su_map else routed.withColumn("rank", F.lit(0)), "routed")
     populated = sorted(r[0] for r in routed.where("table_name IS NOT NULL").select("table_name").distinct().collect())  # table names
     problems = [mixed_loops(routed), deprecations(routed, schema)]
     load = _Load(spark, schema, {t: raw_table(routed, schema.tables[t]) for t in populated})
@@ -318,24 +322,26 @@ def ingest(source: CifFile | DataFrame, schema: Schema | None = None, *, spark:
         load.stub_parents()
         load.cut()
     presence, counts = [], []
-    for t in load.topo:
-        if t in load.raw or into is not None and t in into.tables:
-            old = into.tables.get(t) if into else None
-            raw = load.raw.get(t)
-            if raw is None:
-                out.tables[t] = old
-                continue
-            final, conflicts, seen = merge_table(raw, schema.tables[t], old)
-            out.tables[t] = written(final, f"table-{t}")
+    present = [t for t in load.topo if t in load.raw or into is not None and t in into.tables]
+
+    def merged(t: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        old = into.tables.get(t) if into else None
+        if t not in load.raw:
+            return old, None, None
+        final, conflicts, seen = merge_table(load.raw[t], schema.tables[t], old)
+        return written(final, f"table-{t}"), conflicts, seen
+
+    for t, (final, conflicts, seen) in zip(present, at_once(spark, merged, present), strict=True):
+        out.tables[t] = final
+        if seen is not None:
             presence.append(seen)
             problems.append(conflict_problems(conflicts, schema.tables[t]))
     for t, df in out.tables.items():
         counts.append(R.non_null_counts(df, schema.tables[t].data, "column_name", "n").select(F.lit(t).alias("table_name"), "column_name", "n"))
-    _infrastructure(out, cells, routed, presence, counts, into)
     found = spark.createDataFrame([], PROBLEMS)
     for p in problems:
         found = found.unionByName(p)
-    out.problems = written(found, "problems")
+    _, out.problems = at_once(spark, lambda do: do(), [lambda: _infrastructure(out, cells, routed, presence, counts, into), lambda: written(found, "problems")])
     out.messages += told(out.problems)
     if into is not None and into.problems is not None:
         out.problems = written(into.problems.unionByName(out.problems).distinct(), "problems")
@@ -353,7 +359,7 @@ def deprecations(routed: DataFrame, schema: Schema) -> DataFrame:
     """PROBLEMS: deprecated tags of each block."""
     used = routed.where("deprecated").select("block_id", "tag").distinct()
     instead = [(tag, ", ".join(to)) for tag, to in schema.deprecated_replacements.items() if to]
-    used = used.join(routed.sparkSession.createDataFrame(instead, "tag string, _instead string"), "tag", "left")
+    used = used.join(local_table(routed.sparkSession, instead, "tag string, _instead string"), "tag", "left")
     detail = F.concat(F.format_string("block %s: tag %s is deprecated", "block_id", "tag"), F.coalesce(F.concat(F.lit("; use "), "_instead"), F.lit("")))
     return _problems(used, "deprecated_tag", detail, block_id=F.col("block_id"))
 
@@ -412,7 +418,8 @@ def _infrastructure(out: Dataset, cells: DataFrame, routed: DataFrame, presence:
             keys = {"fallback": ["block_id", "row_id", "tag", "loop_id"], "block_order": ["block_id"], "membership": ["block_id", "dataset_id"]}.get(name)
             old = into.infra[name]
             df = df if name == "metatable" else old.unionByName(df).distinct() if keys is None else _ignored(old, df, keys)
-        out.infra[name] = written(df, f"infra-{name}")
+        made[name] = df
+    out.infra |= written_all(made, "infra")
 
 
 def _ignored(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

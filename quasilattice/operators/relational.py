@@ -139,7 +139,8 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: Names) -> DataFrame:
 
 
 def route(df: DataFrame, routes: DataFrame, on: str) -> DataFrame:
-    """df with the route of its tag (a broadcast of a dictionary-sized table, sized by Spark) and whether it has none."""
+    """df with the route of its tag, null if it has none. routes should be a relation of known size (storage.local_table): then
+    Spark broadcasts it if it is small, and df isn't shuffled by its few tags."""
     return df.join(routes, on, "left")
 
 

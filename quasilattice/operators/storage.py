@@ -9,9 +9,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+#: Tables written at once: each is a job of its own, and small ones leave most of a cluster idle.
+AT_ONCE = 8
+A, B = TypeVar("A"), TypeVar("B")
 
 _PATHS: dict[str, list[str]] = {}
 
@@ -49,3 +59,29 @@ def written(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None
     writer = df.write.option("compression", codec)
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def at_once(spark: SparkSession, f: Callable[[A], B], items: Iterable[A]) -> list[B]:
+    """f of each item, in order, AT_ONCE at a time: for jobs that don't depend on each other. The first error is raised."""
+    items = list(items)
+    if len(items) < 2:
+        return [f(x) for x in items]
+    with ThreadPoolExecutor(min(AT_ONCE, len(items))) as pool:
+        return [x.result() for x in [pool.submit(inheritable_thread_target(spark)(f), x) for x in items]]
+
+
+def written_all(frames: dict[str, DataFrame], prefix: str) -> dict[str, DataFrame]:
+    """written() of independent tables, several at once."""
+    if not frames:
+        return {}
+    spark = next(iter(frames.values())).sparkSession
+    return dict(zip(frames, at_once(spark, lambda name: written(frames[name], f"{prefix}-{name}"), frames), strict=True))
+
+
+def local_table(spark: SparkSession, rows: Iterable[tuple], ddl: str) -> DataFrame:
+    """Rows of the driver (a dictionary's) as a relation whose size the planner knows: joins broadcast it only if that is
+    small, and don't shuffle the other side by its few keys. createDataFrame(rows) makes one of unknown size."""
+    rows, schema = list(rows), StructType.fromDDL(ddl)
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    table = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, to_arrow_schema(schema), strict=True)], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import relational as R
+from ..operators.storage import local_table
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -69,7 +70,7 @@ def insert_ignore(s: SparkSession, d: str) -> DataFrame:
 
 def keyed_default(s: SparkSession, d: str) -> DataFrame:
     e = _t(s, d, "events").select("event_id", "event_type")
-    lookup = s.createDataFrame([("click", "c"), ("error", "x")], "k string, dv string")
+    lookup = local_table(s, [("click", "c"), ("error", "x")], "k string, dv string")
     return R.keyed_default(e, lookup, "event_type", "k", F.when(F.col("event_type") == "view", "own"), "dv", "v").select("event_id", "v")
 
 
@@ -92,7 +93,7 @@ def json_leaf_cast(s: SparkSession, d: str) -> DataFrame:
 
 
 def route_tags(s: SparkSession, d: str) -> DataFrame:
-    routes = s.createDataFrame([("click", "c1"), ("view", "c2")], "event_type string, col string")
+    routes = local_table(s, [("click", "c1"), ("view", "c2")], "event_type string, col string")
     return R.route(_t(s, d, "events").select("event_type"), routes, "event_type").groupBy(F.col("event_type").alias("tag"), F.col("col").isNull().alias("fallback")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -163,7 +164,7 @@ def enum_states_check(s: SparkSession, d: str) -> DataFrame:
 
 
 def unknown_tags(s: SparkSession, d: str) -> DataFrame:
-    known = s.createDataFrame([("click",), ("view",)], "tag string")
+    known = local_table(s, [("click",), ("view",)], "tag string")
     tags = _t(s, d, "events").select("event_type").where("event_type IS NOT NULL").distinct()
     return tags.join(known, tags["event_type"] == known["tag"], "left_anti")
 

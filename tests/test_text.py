@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quasilattice.functions.quoting import make_text_field, quote, quote_text
+from quasilattice.functions.quoting import format_container, make_text_field, quote, quote_text
 from quasilattice.functions.values import canonical_real, decode_container, encode_container, encode_value, merge_su, split_su, split_su_container
 from quasilattice.sources import types as T
 from quasilattice.sources.clean import clean

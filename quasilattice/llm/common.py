@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +136,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Jobs inside send at most n rows at once to Python: for long rows, which both sides hold whole."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    if int(old) > 0:
+        n = min(n, int(old))
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """At most n rows, the first by the hash of key. Rows are counted first, so that tasks send about 2 n rows in all to
     where they are ranked, whatever the number of tasks."""

@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, new_path, prefix_sums, ragged, read_table, span_hash, split_words, texts_of
+from .common import batch_rows, chunks, new_path, prefix_sums, ragged, read_table, span_hash, split_words, texts_of
 
 MAGIC, BLOCK = b"QPF1", 128
+#: Bytes of text that are encoded at once, and rows that come to a worker at once: a worker holds about 30 times the former.
+ENCODED, ROWS = (1 << 20) - 64, 1000
 _HEAD = struct.Struct("<4sIQIII")
 #: White space other than blanks and line ends; texts that have it are encoded in one piece.
 _ODD = re.compile(r"[^\S \n]")
@@ -175,7 +177,7 @@ class Encoder:
     Texts with the string of an added token are encoded in one piece, as the library does by default: the string becomes
     the token's id. ordinary: such strings are text like other text."""
 
-    def __init__(self, path: str, keep: int = 1_000_000, ordinary: bool = False):
+    def __init__(self, path: str, keep: int = 600_000, ordinary: bool = False):
         from tokenizers import Tokenizer
 
         self.tok, self.keep = Tokenizer.from_file(path), keep
@@ -192,7 +194,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.key = np.zeros(0, dtype=np.uint64)  # sorted hashes, and for each its place below
-        self.place = self.start = self.len = self.byte_len = np.zeros(0, dtype=np.int64)
+        self.place = self.start = self.len = self.byte_len = np.zeros(0, dtype=np.int32)
         self.head = self.tail = np.zeros(0, dtype=np.uint64)
         self.pool = np.zeros(0, dtype=np.uint32)
 
@@ -218,11 +220,11 @@ class Encoder:
             got += [np.array(ids, dtype=np.uint32) for ids in rest]
             lens.append(np.array([len(ids) for ids in rest], dtype=np.int64))
         lens = np.concatenate(lens)
-        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(lens) - lens))
-        self.len = np.concatenate((self.len, lens))
+        self.start = np.concatenate((self.start, (len(self.pool) + np.cumsum(lens) - lens).astype(np.int32)))
+        self.len = np.concatenate((self.len, lens.astype(np.int32)))
         head, tail = _ends(buf, starts, ends)
         self.head, self.tail = np.concatenate((self.head, head)), np.concatenate((self.tail, tail))
-        self.byte_len = np.concatenate((self.byte_len, size))
+        self.byte_len = np.concatenate((self.byte_len, size.astype(np.int32)))
         self.pool = np.concatenate((self.pool, *got))
         order = np.argsort(keys, kind="stable")
         at = np.searchsorted(self.key, keys[order])
@@ -231,7 +233,7 @@ class Encoder:
 
     def encode(self, texts: list[str], buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each. buf, off: the texts' bytes and offsets."""
-        if len(self.key) > self.keep:
+        if len(self.key) > self.keep or len(self.pool) > 1 << 28:  # places in the pool are 32-bit numbers
             self.clear()
         odd = np.fromiter((bool(self.whole.search(t)) for t in texts), dtype=bool, count=len(texts))
         _, ends, words = split_words(buf, off, _GAP)
@@ -269,8 +271,8 @@ class Encoder:
             odd[np.unique(owner[~same])] = True
             keep = ~odd[owner]
             place, owner = place[keep], owner[keep]
-        lens = self.len[place]
-        ids = self.pool[ragged(self.start[place], lens)]
+        lens = self.len[place].astype(np.int64)
+        ids = self.pool[ragged(self.start[place].astype(np.int64), lens)]
         counts = np.bincount(owner, weights=lens, minlength=len(texts)).astype(np.int64)
         if odd.any():
             pieces, ends = np.split(ids, np.cumsum(counts)[:-1]), np.flatnonzero(odd)
@@ -284,6 +286,36 @@ class Encoder:
 FILES = "part long, seq long, first_doc long, last_doc long, n_ids long, file binary"
 
 
+def shards(batches: Iterator[pa.RecordBatch], part: int, tokenizer: str, shard_ids: int = 1 << 20, end_id: int = 0, percentile: float = 98.0, ordinary: bool = True) -> Iterator[pa.RecordBatch]:
+    """FILES of a part's ordered rows (doc_id, text)."""
+    seq, encoder = 0, encoder_for(tokenizer, ordinary)
+    held: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    names: list[int | None] = []
+    n = 0
+
+    def close() -> pa.RecordBatch:
+        nonlocal held, counts, names, n, seq
+        file = pack_file(np.concatenate(held), names, np.concatenate(counts), percentile)
+        out = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "first_doc": pa.array([names[0]], pa.int64()), "last_doc": pa.array([names[-1]], pa.int64()), "n_ids": [n], "file": pa.array([file], pa.binary())})
+        held, counts, names, n, seq = [], [], [], 0, seq + 1
+        return out
+
+    for batch in batches:
+        text, doc = texts_of(batch.column(1)), batch.column(0).to_pylist()
+        for lo, hi, buf, off in chunks(text, ENCODED):
+            ids, k = encoder.encode(text[lo:hi].to_pylist(), buf, off)
+            ends = np.cumsum(k)
+            held.append(np.insert(ids, ends, end_id))  # the end id after each document
+            counts.append(k + 1)
+            names += doc[lo:hi]
+            n += len(held[-1])
+            if n >= shard_ids:
+                yield close()
+    if names:
+        yield close()
+
+
 def encode_files(docs: DataFrame, tokenizer: str, shard_ids: int = 1 << 20, end_id: int = 0, percentile: float = 98.0, ordinary: bool = True) -> DataFrame:
     """Shard files of docs(doc_id, text), in ascending doc_id order: a range shuffle of the texts, then all in one pass."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -294,39 +326,15 @@ def encode_files(docs: DataFrame, tokenizer: str, shard_ids: int = 1 << 20, end_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, encoder = TaskContext.get().partitionId(), 0, encoder_for(tokenizer, ordinary)
-        held: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        names: list[int | None] = []
-        n = 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal held, counts, names, n, seq
-            file = pack_file(np.concatenate(held), names, np.concatenate(counts), percentile)
-            out = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "first_doc": pa.array([names[0]], pa.int64()), "last_doc": pa.array([names[-1]], pa.int64()), "n_ids": [n], "file": pa.array([file], pa.binary())})
-            held, counts, names, n, seq = [], [], [], 0, seq + 1
-            return out
-
-        for batch in batches:
-            text, doc = texts_of(batch.column(1)), batch.column(0).to_pylist()
-            for lo, hi, buf, off in chunks(text, (4 << 20) - 64):
-                ids, k = encoder.encode(text[lo:hi].to_pylist(), buf, off)
-                ends = np.cumsum(k)
-                held.append(np.insert(ids, ends, end_id))  # the end id after each document
-                counts.append(k + 1)
-                names += doc[lo:hi]
-                n += len(held[-1])
-                if n >= shard_ids:
-                    yield close()
-        if names:
-            yield close()
+        return shards(batches, TaskContext.get().partitionId(), tokenizer, shard_ids, end_id, percentile, ordinary)
 
     return ordered.mapInArrow(encode, FILES)
 
 
 def write_files(files: DataFrame, path: str) -> DataFrame:
     """The files as a table at path, read again."""
-    files.write.option("compression", "zstd").parquet(path)
+    with batch_rows(files.sparkSession, ROWS):
+        files.write.option("compression", "zstd").parquet(path)
     return files.sparkSession.read.schema(FILES).parquet(path)
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quasilattice.llm import chat_collapse, media_jpeg, mixing, pfor, queries, secret_scan
-from quasilattice.llm.common import written
+from quasilattice.llm.common import batch_rows, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "\n\t", "a", "x" * 70000, "é ß 𝄞 " * 50, "a b  c\n\n d\t", "don't <|endoftext|> it's"]
@@ -190,6 +190,33 @@ def test_snapshots_collapse(spark):
 # ---- token files
 
 
+def test_pfor_encoding_holds_little():
+    """A worker's memory follows neither the batch nor the texts of a part: a limit for 16 MB of text, all words new."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{n:x}" for n in range(i, i + 20_000)) for i in range(1 << 24, (1 << 24) + 2_000_000, 20_000)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(i, i + 20), pa.int64()), "text": texts[i : i + 20]}) for i in range(0, 100, 20)]
+    pfor.encoder_for(pfor.tokenizer_path())
+    tracemalloc.start()
+    n = sum(f["n_ids"][0].as_py() for f in pfor.shards(iter(batches), 0, pfor.tokenizer_path(), ordinary=False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pfor.encoder_for(pfor.tokenizer_path()).clear()
+    assert n > 2_000_000
+    assert peak < 160e6, peak
+
+
+def test_batch_rows_gives_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    with pytest.raises(ZeroDivisionError), batch_rows(spark, 7):
+        assert spark.conf.get(name) == "7"
+        1 / 0
+    assert spark.conf.get(name) == old
+
+
 def test_token_files_equal_the_library(spark):
     from tokenizers import Tokenizer
 

@@ -61,6 +61,13 @@ def written(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None
     return spark.read.schema(schema).parquet(path)
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df by the hash of columns in as many parts as a shuffle has: for rows that are few bytes and much work, which files of
+    a few megabytes would leave to one task. The number is given, so that Spark doesn't join small parts again."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def at_once(spark: SparkSession, f: Callable[[A], B], items: Iterable[A]) -> list[B]:
     """f of each item, in order, AT_ONCE at a time: for jobs that don't depend on each other. The first error is raised."""
     items = list(items)

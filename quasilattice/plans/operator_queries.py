@@ -18,6 +18,7 @@ from ..operators.convert import convert_database
 from ..operators.emit import emit_blocks
 from ..operators.ingest import ingest, select_blocks
 from ..operators.validate import validate_database
+from ..operators.storage import dealt
 from ..sources.cells import cells_of_texts, events_of_texts, tokens_of_texts
 from ..sources.clean import clean_cells
 from ..sources.lexer import detect_version
@@ -41,7 +42,7 @@ def _text(x: Col | str) -> Col:
 def _part_texts(s: SparkSession, d: str, head: str, *pieces: Col | str) -> DataFrame:
     """(source, content): a text for each part; pieces: columns, and fixed text between them as given."""
     body = F.concat(F.lit(head), *(F.lit(p) if isinstance(p, str) else _text(p) for p in pieces), F.lit("\n"))
-    return _t(s, d, "part").select(F.col("p_partkey").cast("string").alias("source"), body.alias("content"))
+    return dealt(_t(s, d, "part"), "p_partkey").select(F.col("p_partkey").cast("string").alias("source"), body.alias("content"))
 
 
 def _key(df: DataFrame, *rest: str) -> DataFrame:

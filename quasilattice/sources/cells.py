@@ -6,7 +6,7 @@ everything after the cells is relational.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +20,8 @@ CELLS = (
     "tag string, tag_pos int, col_index int, value string, value_type string, event_pos int"
 )
 ERRORS = "source string, code string, kind string, message string, line int, col int"
+#: Cells that go to Spark at once.
+BATCH_CELLS = 20_000
 _CELL_NAMES = [c.split()[0] for c in CELLS.split(", ")]
 _CELL_TYPES = [pa.int32() if c.endswith(" int") else pa.string() for c in CELLS.split(", ")]
 
@@ -59,6 +61,26 @@ def cells_of(cif: CifFile, source: str = "") -> pa.Table:
     return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _CELL_TYPES, strict=True)], names=_CELL_NAMES)
 
 
+def cell_batches(texts: Iterable[tuple[str, str | bytes | None]], mode: str = "pad") -> Iterator[pa.RecordBatch]:
+    """CELLS of texts in full batches: small texts share one, a large one's cells are never all held as rows."""
+    rows: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CELL_TYPES, strict=True)], names=_CELL_NAMES)
+
+    for source, content in texts:
+        if content is None:
+            continue
+        cif, _ = build(content.decode("utf-8", "replace") if isinstance(content, bytes) else content, mode=mode)
+        for row in cell_rows(source, cif):
+            rows.append(row)
+            if len(rows) == BATCH_CELLS:
+                yield batch()
+                rows = []
+    if rows:
+        yield batch()
+
+
 def cells_frame(spark: SparkSession, cif: CifFile, source: str = "") -> DataFrame:
     """Cells of a model that is on the driver."""
     rows = list(cell_rows(source, cif))
@@ -73,11 +95,7 @@ def cells_of_texts(texts: DataFrame, mode: str = "pad") -> DataFrame:
     """CELLS of texts(source, content): content as text or UTF-8 bytes. Null contents have no cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for source, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if content is not None:
-                    cif, _ = build(content.decode("utf-8", "replace") if isinstance(content, bytes) else content, mode=mode)
-                    yield from cells_of(cif, source).to_batches(max_chunksize=50_000)
+        return cell_batches(((s, c) for b in batches for s, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), mode)
 
     return texts.select(F.col("source").cast("string"), "content").mapInArrow(run, CELLS)
 

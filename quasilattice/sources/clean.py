@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.storage import written
 from .model import CifFile, Namespace, fold
 
 ORPHAN = "_orphan.value"
@@ -99,6 +100,9 @@ def _with(cells: DataFrame, part: DataFrame, keys: list[str], sums: list) -> Dat
 
 
 def clean_cells(cells: DataFrame, *, remove_error_values: bool = True, deduplicate_blocks: str | None = "first", deduplicate_tags: str | None = "first", strip_loop_padding: bool = True) -> DataFrame:
+    """The steps of clean() on CELLS. Each step reads the cells twice, so they are a written table: texts are parsed once."""
+    if deduplicate_blocks or deduplicate_tags or strip_loop_padding:
+        cells = written(cells, "cells")
     if remove_error_values:
         cells = cells.where(F.col("tag") != ORPHAN)
     if deduplicate_blocks:

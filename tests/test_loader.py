@@ -16,7 +16,8 @@ from quasilattice.operators.ingest import Dataset, IngestionError, ingest
 from quasilattice.operators.validate import container_problems, parse_dimension, parse_range, validate
 from quasilattice.plans.output import BlockSpec, EmitMode, OutputPlan, accepted, all_of, any_of, has, namer, only
 from quasilattice.plans.schema import BLOCK, ID, ROW, Column, ForeignKey, Schema, Table
-from quasilattice.sources.cells import CifDataSource, build_arrow, cells_frame, cells_of_texts, errors_of_texts, events_of_texts, read_cells
+from quasilattice.operators.storage import dealt
+from quasilattice.sources.cells import CifDataSource, build_arrow, cell_batches, cells_frame, cells_of_texts, errors_of_texts, events_of_texts, read_cells
 from quasilattice.sources.clean import clean_cells
 from quasilattice.sources.model import build
 from quasilattice.streaming.directory import DatasetStore, merge_batch, stream_into
@@ -393,3 +394,20 @@ def test_reports_tell_the_true_number_of_differences(spark, tmp_path):
     report = check_fidelity(one(1), one(2), counted(), spark=spark, report_file=str(tmp_path / "r.txt"))
     assert report.total == report.frame.count() == 300 and len(report.mismatches) == 200
     assert (tmp_path / "r.txt").read_text().startswith("300 differences (the first 200 are listed)")
+
+
+def test_small_texts_are_parsed_once_in_full_batches(spark):
+    texts = [(str(i), V2 + f"data_d\n_a.x {i}\n_a.x 7\nloop_\n_b.i\n_b.j\n{i} v ? ?\ndata_D\n_a.x other") for i in range(100)] + [("none", None)]
+    assert [b.num_rows for b in cell_batches(texts)] == [700]
+    parsed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(texts, "source string, content string").mapInArrow(counted, "source string, content string")
+    got = sorted((int(r["source"]), r["tag"], r["value"]) for r in clean_cells(cells_of_texts(frame)).collect())
+    assert got == sorted(x for i in range(100) for x in ((i, "_a.x", str(i)), (i, "_b.i", str(i)), (i, "_b.j", "v")))
+    assert parsed.value == 101  # before: each step read its input twice
+    assert dealt(spark.range(3).coalesce(1), "id").rdd.getNumPartitions() >= 2

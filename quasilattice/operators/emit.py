@@ -26,11 +26,15 @@ from ..plans.schema import BLOCK, Schema, Table, topological
 from ..sources.types import V1, V2
 from . import relational as R
 from .ingest import ITER, LOOP, ORDER, Dataset
+from .storage import dealt, local_table, written
 
 ROWS = "key string, position long, table_name string, ord string, loop_id int, row string"
 RENDERED = "key string, position long, spec int, name string, body string"
+PIECES = "position long, name string, piece long, head string, text string"
 MAX_NAME_1 = 75
 BATCH_CHARS = 4_000_000
+#: Rows of a piece of a large block.
+PIECE_ROWS = 20_000
 
 
 def emit(data: Dataset, schema: Schema | None = None, *, mode: EmitMode = EmitMode.ORIGINAL, version: str = V2, plan: OutputPlan | None = None, reconstruct_su: bool = False, line_ending: str = "\n", pretty: bool = True, line_limit: int = LINE_LIMIT) -> str:
@@ -56,13 +60,90 @@ def emit_blocks(data: Dataset, schema: Schema | None = None, *, mode: EmitMode =
     rows = {EmitMode.ORIGINAL: original_rows, EmitMode.GROUPED: grouped_rows, EmitMode.ONE_BLOCK: one_block_rows, EmitMode.ALL_BLOCKS: all_block_rows}[mode](data)
     render = _Renderer(schema, plan, mode, version, reconstruct_su, pretty, line_limit)
     rows = planned(rows, schema, plan) if plan.specs and mode in (EmitMode.GROUPED, EmitMode.ONE_BLOCK) else rows.withColumn("spec", F.lit(None).cast("int"))
-    made = rows.select("key", "position", "table_name", "loop_id", "ord", "row", "spec").repartition("key").sortWithinPartitions("key", "table_name", "ord").mapInArrow(render.blocks, RENDERED)
+    out = _placed(_whole(rows, render), mode)
+    return out.select("position", "name", F.concat(F.lit("data_"), "name", F.lit("\n"), "body").alias("text"))
+
+
+def _whole(rows: DataFrame, render: _Renderer) -> DataFrame:
+    """RENDERED of rows with `spec`: a block in one task."""
+    return rows.select("key", "position", "table_name", "loop_id", "ord", "row", "spec").repartition("key").sortWithinPartitions("key", "table_name", "ord").mapInArrow(render.blocks, RENDERED)
+
+
+def _placed(made: DataFrame, mode: EmitMode) -> DataFrame:
+    """RENDERED rows with their position and a name of their own."""
     order = ["_from", "key"] if mode is EmitMode.ORIGINAL else ["spec", "name", "_from", "key"]
     made = made.withColumnRenamed("position", "_from")
     n = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(*order))
     named = made.withColumn("_n", n).withColumn("_name", F.when(F.col("_n") > 1, F.concat_ws("_", "name", F.col("_n").cast("string"))).otherwise(F.col("name")))
-    out = R.dense_ids(named, order, "position", -1)
-    return out.select("position", F.col("_name").alias("name"), F.concat(F.lit("data_"), "_name", F.lit("\n"), "body").alias("text"))
+    return R.dense_ids(named, order, "position", -1).select("position", "key", F.col("_name").alias("name"), "body")
+
+
+# ---- large blocks in pieces
+
+
+def emit_pieces(data: Dataset, schema: Schema | None = None, *, mode: EmitMode = EmitMode.ORIGINAL, version: str = V2, reconstruct_su: bool = False, pretty: bool = True, line_limit: int = LINE_LIMIT, size: int = PIECE_ROWS) -> DataFrame:
+    """(position, name, piece, head, text): the texts of emit_blocks, those of more than size rows in pieces of as many.
+
+    The texts of a block's pieces, one after the other, are one block with the same values as from emit_blocks; head and text together
+    can be read alone: head repeats what a piece goes on with (block, loop, tags). Columns are chosen by the whole block;
+    they are aligned within a piece, and no empty line follows a loop. One
+    row for each table and kind of loop of a large block comes to the driver. A block is rendered whole, whatever its size, if
+    its tables are in the original layout, share rows with other blocks or have unknown tags beside them, or if a
+    loop has a tag twice."""
+    schema, spark = schema or data.schema, data.spark
+    rows = {EmitMode.ORIGINAL: original_rows, EmitMode.GROUPED: grouped_rows, EmitMode.ONE_BLOCK: one_block_rows, EmitMode.ALL_BLOCKS: all_block_rows}[mode](data)
+    rows = written(rows.select("key", "position", "table_name", "ord", "loop_id", "row"), "emit-rows")
+    render = _Renderer(schema, OutputPlan(), mode, version, reconstruct_su, pretty, line_limit)
+    large = rows.groupBy("key").agg(F.count("row").alias("n")).where(F.col("n") > size).select("key")
+    units = written(_units(rows.where("row IS NOT NULL").join(large, "key", "left_semi")), "emit-units")
+    slots, blocks = render.layout(_profile(units, schema), size)
+    whole = local_table(spark, [(b[0],) for b in blocks], "key string")
+    made = _whole(rows.join(whole, "key", "left_anti").withColumn("spec", F.lit(None).cast("int")), render)
+    made = made.unionByName(local_table(spark, [(*b, None) for b in blocks], RENDERED))
+    placed = _placed(made, mode)
+    title = F.concat(F.lit("data_"), "name", F.lit("\n"))
+    out = placed.where("body IS NOT NULL").select("position", "name", F.lit(0).cast("long").alias("piece"), F.lit("").alias("head"), F.concat(title, "body").alias("text"))
+    if not blocks:
+        return out
+    places = local_table(spark, [(s["key"], s["table"], s["unit"], i, s["before"], s["piece"]) for i, s in enumerate(slots)], "key string, table_name string, unit string, slot int, before long, first long")
+    numbered = R.dense_ids(units.join(places, ["key", "table_name", "unit"]).select("slot", "ord", "row", "before", "first"), ["slot", "ord"], "n", -1)
+    dealt_out = numbered.withColumn("piece", F.col("first") + F.floor((F.col("n") - F.col("before")) / size)).select("slot", "piece", "ord", "row")
+    layouts = spark.sparkContext.broadcast((slots, {r["key"]: (r["position"], r["name"]) for r in placed.where("body IS NULL").select("key", "position", "name").collect()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return render.pieces(batches, *layouts.value)
+
+    pieces = dealt(dealt_out, "piece").sortWithinPartitions("piece", "ord").mapInArrow(run, PIECES)
+    return out.select(*pieces.columns).unionByName(pieces)
+
+
+LOOSE_CELL = "tag string, value string, value_type string, row_id long, col_index int, ref_table string, block long"
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    """key, position, table_name, unit, ord, row, beside: a row for each row to be written. Of tables unit is empty; of unknown tags it is
+    the tags that stand together, and row the cells (a scalar has one)."""
+    cells = rows.where("table_name = ''").withColumn("x", F.from_json("row", LOOSE_CELL))
+    tables = rows.where("table_name <> ''").select("key", "position", "table_name", F.lit("").alias("unit"), "ord", "row", F.lit("").alias("beside"))
+    tag, beside = F.to_json(F.array("x.tag")), F.coalesce("x.ref_table", F.lit(""))
+    scalars = cells.where("loop_id IS NULL").select("key", "position", "table_name", tag.alias("unit"), F.concat(F.lit("0"), "ord").alias("ord"), F.to_json(F.array("x")).alias("row"), F.lit("").alias("beside"))
+    place = ["key", "block", "loop_id"]
+    looped = cells.where("loop_id IS NOT NULL").select("key", "position", "loop_id", "ord", "x", F.coalesce("x.block", F.lit(0)).alias("block"), beside.alias("beside"))
+    tags = looped.groupBy(*place).agg(F.to_json(F.transform(F.sort_array(F.collect_set(F.struct(F.coalesce("x.col_index", F.lit(0)), "x.tag"))), lambda c: c["tag"])).alias("unit"))
+    whole = looped.groupBy(*place, "x.row_id").agg(F.min("position").alias("position"), F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("ord", "x"))), lambda c: c["x"])).alias("row"), F.max("beside").alias("beside"))
+    ord_ = F.format_string("1%010d.%010d.%010d", "block", "loop_id", "row_id")
+    loops = whole.join(tags.select(*(F.col(c).alias(f"_{c}") for c in place), "unit"), [F.col(c) == F.col(f"_{c}") for c in place]).select("key", "position", F.lit("").alias("table_name"), "unit", ord_.alias("ord"), "row", "beside")
+    return tables.unionByName(scalars).unionByName(loops)
+
+
+def _profile(units: DataFrame, schema: Schema) -> list:
+    """For each key, table and unit: rows, columns, the first row, and whether links say one thing."""
+    links = sorted({(t.name, c) for t in schema.tables.values() for k in t.foreign_keys for c in k.source_columns})
+    value = {x: F.when(F.col("table_name") == x[0], F.get_json_object("row", f"$['{x[1]}']")) for x in links}
+    sides = [F.struct(F.min(v), F.max(v), F.count(v)).alias(f"link{i}") for i, v in enumerate(value.values())]
+    names = F.when(F.col("table_name") != "", F.array_join(F.expr("json_object_keys(row)"), "\n"))
+    found = units.groupBy("key", "table_name", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("position"), F.min("ord").alias("ord"), F.collect_set(names).alias("names"), F.min_by(F.when(F.col("table_name") != "", F.col("row")), "ord").alias("row"), F.collect_set("beside").alias("beside"), *sides)
+    return [(r, {x: tuple(r[f"link{i}"]) for i, x in enumerate(links)}) for r in found.collect()]
 
 
 # ---- which row goes where
@@ -289,6 +370,98 @@ class _Renderer:
             lines += part if not i else ["", f"data_{name}_rest" + (f"_{i}" if i > 1 else ""), *part]
         return found if found is not None else len(self.plan.specs), name, "\n".join(lines) + "\n" if lines else ""
 
+    def layout(self, found: list, size: int) -> tuple[list[dict], list[tuple]]:
+        """Of the profile of large blocks: what is written in which order with which columns (slots, with the rows and pieces before
+        each), and (key, position, spec, name) of the blocks. Blocks that have to be rendered whole are left out."""
+        keys, slots, blocks = defaultdict(list), [], []
+        for r, links in found:
+            keys[r["key"]].append((r, links))
+        before = piece = 0
+        for key in sorted(keys):
+            tables = {r["table_name"]: (r, links) for r, links in keys[key] if r["table_name"]}
+            loose = [(tuple(json.loads(r["unit"])), r) for r, _ in keys[key] if not r["table_name"]]
+            masked = any("_only" in x.split("\n") for r, _ in tables.values() for x in r["names"])
+            beside = any(x in tables for _, r in loose for x in r["beside"])
+            if masked or beside or self.mode is EmitMode.ORIGINAL and tables or any(len(set(t)) < len(t) for t, _ in loose):
+                continue
+            self.written, self.single, self.counts = set(), False, {t: r["n"] for t, (r, _) in tables.items()}
+            anchors = {t: json.loads(r["row"]) for t, (r, _) in tables.items() if self.schema.tables[t].category_class == "Set" and self.schema.tables[t].keys}
+            mine = []
+            tags = [(None, None, {"tag": t[0]}) for t, _ in loose if len(t) == 1]
+            lead = self._conformance(tables, tags)
+            for (t,) in self._order({t: [] for t in tables}, BlockSpec()) if tables else []:
+                r, links = tables[t]
+                columns = self._chosen(self.schema.tables[t], r, links, anchors)
+                self.written |= {self.schema.column_to_tag[t, c] for c in columns}
+                mine.append({"key": key, "table": t, "unit": "", "columns": columns, "part": 0, "n": r["n"]})
+            taken = [set(self.written)]
+            for unit, r in sorted(loose, key=lambda x: ((0, x[0]) if x[1]["ord"][0] == "0" else (1, x[1]["ord"]))):
+                i = next((i for i, x in enumerate(taken) if x.isdisjoint(unit)), len(taken))
+                if i == len(taken):
+                    taken.append(set())
+                taken[i] |= set(unit)
+                mine.append({"key": key, "table": "", "unit": r["unit"], "columns": list(unit), "part": i, "n": r["n"], "scalar": r["ord"][0] == "0"})
+            name = self._name(key, {t: [a] for t, a in anchors.items()}, BlockSpec())
+            blocks.append((key, min((r["position"] for r, _ in keys[key] if r["position"] is not None), default=0), 0, name))
+            for i, s in enumerate(sorted(mine, key=lambda s: s["part"])):
+                rest = f"data_{name}_rest" + (f"_{s['part']}" if s["part"] > 1 else "") + "\n" if s["part"] else ""
+                opens = s["part"] != (slots[-1]["part"] if i else 0)
+                slots.append(s | {"before": before, "piece": piece, "rest": rest, "opens": "\n" + rest if opens else "", "lead": lead if not i else [], "first": not i})
+                before, piece = before + s["n"], piece - -s["n"] // size
+        return slots, blocks
+
+    def _chosen(self, table: Table, r: tuple, links: dict, anchors: dict[str, dict]) -> list[str]:
+        """_columns of a profile."""
+        have = {c for x in r["names"] for c in x.split("\n")}
+        active = [c for c in table.data if c in have]
+        if table.category_class == "Loop" or table.name not in anchors or r["n"] == 1:
+            def rows(c: str) -> list[dict]:  # stand for all of them: equal if the smallest and the largest are, and none is null
+                low, high, n = links.get((table.name, c), (None, None, 0))
+                return [{c: low}, {c: high}, {c: low if n == r["n"] else None}]
+
+            active = [c for c in active if not self._implied(table, c, rows(c), anchors)] or active
+        if self.reconstruct_su:
+            active = [c for c in active if not (table.column(c).is_su and self.schema.tag_to_column.get(table.column(c).linked_item_id or "", ("", ""))[1] in active)]
+        return active
+
+    def pieces(self, batches: Iterator[pa.RecordBatch], slots: list[dict], blocks: dict[str, tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+        """PIECES of rows (slot, piece, ord, row) that come piece by piece. blocks: position and name by key."""
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (slot, piece), group in groupby(rows, key=lambda r: r[:2]):
+            s = slots[slot]
+            position, name = blocks[s["key"]]
+            lines, begins = self._piece(s, [json.loads(r[3]) for r in group])
+            title, opening, head = f"data_{name}\n", "", ""
+            if piece == s["piece"]:
+                opening = (title if s["first"] else "") + s["opens"] + "".join(x + "\n" for x in s["lead"])
+                begins = 0
+            if not (piece == s["piece"] and (s["first"] or s["opens"])):
+                head = (s["rest"] or title) + "".join(x + "\n" for x in lines[:begins])
+            values = {"position": [position], "name": [name], "piece": [piece], "head": [head], "text": [opening + "".join(x + "\n" for x in lines[begins:])]}
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in ("position", "piece") else pa.string()) for k, v in values.items()], names=list(values))
+
+    def _piece(self, s: dict, rows: list) -> tuple[list[str], int]:
+        """Lines, and how many of them are a loop's beginning."""
+        columns = s["columns"]
+        if s["table"]:
+            table = self.schema.tables[s["table"]]
+            tags = [self.schema.column_to_tag[table.name, c] for c in columns]
+            cells = [[self._value(table, c, r) for c in columns] for r in rows]
+            real = [table.column(c).type_contents in ("Real", "Integer") for c in columns]
+            if not columns:
+                return [], 0
+            pair = table.category_class == "Set" and s["n"] == 1
+        else:
+            tags, real, cells = columns, [False] * len(columns), []
+            pair = len(tags) == 1 and s["n"] == 1 and s["scalar"]
+            for row in rows:
+                have = defaultdict(list)
+                for c in row:
+                    have[c["tag"]].append(self._loose(c))
+                for i in range(max(map(len, have.values()))):  # a cell given twice takes a row of its own
+                    cells.append([have[t][i] if i < len(have[t]) else "?" if not i else "." for t in tags])
+        return (self.pairs(tags, cells[0]), 0) if pair else (self.loop(tags, cells, real)[:-1], 1 + len(tags))
+
     def _conformance(self, tables: dict, loose: list) -> list[str]:
         """In one block for all: which dictionary the data follow, unless they say so themselves."""
         if self.mode is not EmitMode.ONE_BLOCK or "audit_conform" in tables or any(r["tag"].startswith("_audit_conform.") for _, _, r in loose):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators.convert import generate_defaults
-from ..operators.emit import emit_blocks
+from ..operators.emit import emit_blocks, emit_pieces
 from ..operators.fidelity import compare_places
 from ..operators.ingest import id_regimes, ingest
 from ..operators.validate import validate_database
@@ -138,7 +138,7 @@ def emit_keeps_all(s: SparkSession, d: str) -> DataFrame:
     """All values written and read again, by mode: tags with several values, loops with the same tags in several blocks."""
     data, out = ingest(_loose_cells(s, d), spark=s), None
     for mode in (EmitMode.ORIGINAL, EmitMode.GROUPED, EmitMode.ONE_BLOCK):
-        texts = emit_blocks(data, mode=mode).select(F.col("name").alias("source"), F.concat(F.lit("#\\#CIF_2.0\n"), "text").alias("content"))
+        texts = emit_pieces(data, mode=mode).select(F.col("name").alias("source"), F.concat(F.lit("#\\#CIF_2.0\n"), "head", "text").alias("content"))
         rows = cells_of_texts(texts).groupBy("tag", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("mode", F.lit(mode.value))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -16,7 +16,7 @@ from ..functions import columns as C
 from ..functions.quoting import quote_text
 from ..operators import relational as R
 from ..operators.convert import convert_database, generate_defaults
-from ..operators.emit import emit_blocks
+from ..operators.emit import emit_pieces
 from ..operators.fidelity import compare_fallback, compare_tables
 from ..operators.ingest import Dataset, container_su, ingest
 from ..operators.validate import validate_database
@@ -167,7 +167,7 @@ def fidelity_self(s: SparkSession, d: str) -> DataFrame:
 def _emitted(s: SparkSession, d: str, mode: EmitMode) -> DataFrame:
     """How often each block has each tag and value, after writing and reading."""
     data = ingest(shop_cells(s, d, unknown=mode is not EmitMode.ALL_BLOCKS), shop_schema())  # unknown tags can't be dealt out to all blocks
-    texts = emit_blocks(data, mode=mode).select(F.col("name").alias("source"), F.concat(F.lit("#\\#CIF_2.0\n"), "text").alias("content"))
+    texts = emit_pieces(data, mode=mode).select(F.col("name").alias("source"), F.concat(F.lit("#\\#CIF_2.0\n"), "head", "text").alias("content"))
     return cells_of_texts(texts).groupBy("source", "tag", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,14 +10,15 @@ from quasilattice import inspection
 from quasilattice.functions.values import encode_container
 from quasilattice.operators import relational as R
 from quasilattice.operators.convert import convert_database, generate_defaults
-from quasilattice.operators.emit import _Renderer, align_decimals, emit, pack_tokens
+from quasilattice.operators.emit import _Renderer, align_decimals, emit, emit_blocks, emit_pieces, pack_tokens
 from quasilattice.operators.fidelity import check_fidelity
 from quasilattice.operators.ingest import Dataset, IngestionError, ingest
+from quasilattice.operators.storage import dealt
 from quasilattice.operators.validate import container_problems, parse_dimension, parse_range, validate
 from quasilattice.plans.output import BlockSpec, EmitMode, OutputPlan, accepted, all_of, any_of, has, namer, only
 from quasilattice.plans.schema import BLOCK, ID, ROW, Column, ForeignKey, Schema, Table
-from quasilattice.operators.storage import dealt
 from quasilattice.sources.cells import CifDataSource, build_arrow, cell_batches, cells_frame, cells_of_texts, errors_of_texts, events_of_texts, read_cells
+from quasilattice.plans.text_queries import shop_schema
 from quasilattice.sources.clean import clean_cells
 from quasilattice.sources.model import build
 from quasilattice.streaming.directory import DatasetStore, merge_batch, stream_into
@@ -411,3 +412,23 @@ def test_small_texts_are_parsed_once_in_full_batches(spark):
     assert got == sorted(x for i in range(100) for x in ((i, "_a.x", str(i)), (i, "_b.i", str(i)), (i, "_b.j", "v")))
     assert parsed.value == 101  # before: each step read its input twice
     assert dealt(spark.range(3).coalesce(1), "id").rdd.getNumPartitions() >= 2
+
+
+@pytest.mark.parametrize("mode", [EmitMode.ONE_BLOCK, EmitMode.ALL_BLOCKS, EmitMode.ORIGINAL, EmitMode.GROUPED])
+def test_large_blocks_come_in_pieces(spark, mode):
+    """The same values as in whole blocks, by block and tag: each piece read alone, and all pieces of a block as one text."""
+    text = V2 + "".join(f"data_c{c}\n_customer.id {c}\nloop_\n_order.id\n_order.note\n" + "".join(f"{c}{i} {'.' if i else 'x y'!r}\n" for i in range(9)) for c in range(1, 4))
+    text = text.replace("'.'", ".")
+    if mode is not EmitMode.ALL_BLOCKS:
+        text += "data_u\n_u.a 1\n_u.a 2\nloop_\n_v.x\n_v.y\n" + "".join(f"{i} 'a b'\n" for i in range(11)) + "data_w\nloop_\n_v.x\n_v.y\n1 2\n3 ?\nloop_\n_u.a\n5\n6\n7\n"
+    data = ingest(cells_of_texts(spark.createDataFrame([("s", text)], "source string, content string")), shop_schema())
+    whole = emit_blocks(data, mode=mode).select(F.col("name").alias("source"), F.concat(F.lit(V2), "text").alias("content"))
+    pieces = emit_pieces(data, mode=mode, size=4).cache()
+    alone = pieces.select(F.col("name").alias("source"), F.concat(F.lit(V2), "head", "text").alias("content"))
+    joined = pieces.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "text"))), lambda x: x["text"]), "").alias("text"))
+    joined = joined.select(F.col("name").alias("source"), F.concat(F.lit(V2), "text").alias("content"))
+    want = rows(cells_of_texts(whole), "source", "tag", "value")
+    assert rows(cells_of_texts(alone), "source", "tag", "value") == want
+    assert rows(cells_of_texts(joined), "source", "block_id", "tag", "value") == rows(cells_of_texts(whole), "source", "block_id", "tag", "value")
+    assert errors_of_texts(joined).count() == errors_of_texts(whole).count() == errors_of_texts(alone).count() == 0
+    assert pieces.where("piece > 0").count() > 2
